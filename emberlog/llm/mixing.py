@@ -3,8 +3,9 @@
 Each source gets a target share of all words by its weight, at most ``max_repeats`` times what it has; the excess is dealt
 again by weight until no source is above its cap.  Within a source every document is expected ``target / size`` times.
 The expectations are summed up over the source's documents, one random offset is added, and a document is emitted once
-for each integer its stretch of the running sum crosses.  Documents are ordered by size class first, so the words taken
-stay close to the target and not only the documents.
+for each integer its stretch of the running sum crosses.  Documents are ordered by size class, down every other class and up
+the rest, so what an offset takes too much of on the way down it takes too little of on the way up, and not only the number of
+documents but also the words taken stay close to the target.
 
 No source is ever brought into one task: a source is split into blocks (size class, hash bucket); block counts give the
 running sum at the block's start, and only the documents of one block are ordered together.
@@ -29,13 +30,14 @@ BUCKETS = 32
 
 
 def _keyed(docs: DataFrame, doc_id: str, source: str, size: str) -> DataFrame:
-    """Add the block of each document.  Size classes are an eighth of an octave wide."""
+    """Add the block of each document.  Size classes are an eighth of an octave wide; ``__turn`` orders them."""
     digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
     bits = F.length(F.bin(F.col(size)))
+    cls = F.when(F.col(size) <= 0, F.lit(0)).otherwise(bits * 8 + F.expr(f"int(shiftright(`{size}` * 8, length(bin(`{size}`)) - 1))") - 8)
     return docs.withColumns(
         {
             "__key": F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))),
-            "__cls": F.when(F.col(size) <= 0, F.lit(0)).otherwise(bits * 8 + F.expr(f"int(shiftright(`{size}` * 8, length(bin(`{size}`)) - 1))") - 8),
+            "__turn": F.when(cls % 2 == 0, -cls).otherwise(cls),
             "__bucket": F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % BUCKETS,
             "__order": F.substring(digest, 3, 8),
         }
@@ -75,12 +77,12 @@ def mix(
     ``docs`` needs a size (long) per document; its other columns are kept as they are.
     """
     keyed = _keyed(docs, doc_id, source, size)
-    block = ["__key", "__cls", "__bucket"]
+    block = ["__key", "__turn", "__bucket"]
     blocks = cut(keyed.groupBy(block).agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__words")))
     targets = source_targets(blocks.groupBy("__key").agg(F.sum("__words").alias("source_size")), weights, max_repeats)
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * SCALE)).otherwise(0).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("__key")).cast("binary")), 1, 6), 16, 10).cast("long")
-    earlier = Window.partitionBy("__key").orderBy(F.desc("__cls"), "__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__key").orderBy("__turn", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         blocks.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
         .join(targets, "__key")
