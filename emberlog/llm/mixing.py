@@ -3,9 +3,9 @@
 Each source gets a target share of all words by its weight, at most ``max_repeats`` times what it has; the excess is dealt
 again by weight until no source is above its cap.  Within a source every document is expected ``target / size`` times.
 The expectations are summed up over the source's documents, one random offset is added, and a document is emitted once
-for each integer its stretch of the running sum crosses.  Documents are ordered by size class, down every other class and up
-the rest, so what an offset takes too much of on the way down it takes too little of on the way up, and not only the number of
-documents but also the words taken stay close to the target.
+for each integer its stretch of the running sum crosses.  Documents are ordered by size class, so the words taken stay close
+to the target and not only the number of documents.  Where a few long documents make up a source, the offset still matters;
+so of ``OFFSETS`` evenly shifted forms of the one random offset the source uses the one whose words come nearest its target.
 
 No source is ever brought into one task: a source is split into blocks (size class, hash bucket); block counts give the
 running sum at the block's start, and only the documents of one block are ordered together.
@@ -27,17 +27,18 @@ MAX_REPEATS = 3
 #: Expected copies are summed as whole multiples of 1 / SCALE, so that sums never depend on their order.
 SCALE = 1 << 24
 BUCKETS = 32
+OFFSETS = 16
 
 
 def _keyed(docs: DataFrame, doc_id: str, source: str, size: str) -> DataFrame:
-    """Add the block of each document.  Size classes are an eighth of an octave wide; ``__turn`` orders them."""
+    """Add the block of each document.  Size classes are an eighth of an octave wide."""
     digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
     bits = F.length(F.bin(F.col(size)))
     cls = F.when(F.col(size) <= 0, F.lit(0)).otherwise(bits * 8 + F.expr(f"int(shiftright(`{size}` * 8, length(bin(`{size}`)) - 1))") - 8)
     return docs.withColumns(
         {
             "__key": F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))),
-            "__turn": F.when(cls % 2 == 0, -cls).otherwise(cls),
+            "__cls": cls,
             "__bucket": F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % BUCKETS,
             "__order": F.substring(digest, 3, 8),
         }
@@ -77,25 +78,36 @@ def mix(
     ``docs`` needs a size (long) per document; its other columns are kept as they are.
     """
     keyed = _keyed(docs, doc_id, source, size)
-    block = ["__key", "__turn", "__bucket"]
+    block = ["__key", "__cls", "__bucket"]
     blocks = cut(keyed.groupBy(block).agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__words")))
     targets = source_targets(blocks.groupBy("__key").agg(F.sum("__words").alias("source_size")), weights, max_repeats)
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * SCALE)).otherwise(0).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("__key")).cast("binary")), 1, 6), 16, 10).cast("long")
-    earlier = Window.partitionBy("__key").orderBy("__turn", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__key").orderBy(F.desc("__cls"), "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         blocks.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
         .join(targets, "__key")
-        .withColumns({"__rate": rate, "__offset": offset})
-        .select(*block, "source_size", "target", "__rate", (F.col("__rate") * F.col("__before") + F.col("__offset")).alias("__start"))
+        .withColumn("__rate", rate)
+        .select(*block, "source_size", "target", "__rate", (F.col("__rate") * F.col("__before")).alias("__start"))
     )
+    blocks = cut(blocks)
     inside = Window.partitionBy(block).orderBy(F.desc(size), "__order", doc_id)
+    base = F.col("__start") + F.col("__rate") * (F.row_number().over(inside) - 1)
+
+    def crossed(begin):
+        return F.floor((begin + F.col("__rate")) / SCALE) - F.floor(begin / SCALE)
+
+    shifts = [(offset + k * (SCALE // OFFSETS)) % SCALE for k in range(OFFSETS)]
+    tried = keyed.select(size, doc_id, *block, "__order").join(blocks, block).withColumn("__base", base)
+    words = [F.sum(F.col(size) * crossed(F.col("__base") + shift)) for shift in shifts]
+    misses = tried.groupBy("__key").agg(F.first("target").alias("__target"), *(w.alias(f"__w{k}") for k, w in enumerate(words)))
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"__w{k}") - F.col("__target")).alias("miss"), F.lit(k).alias("k")) for k in range(OFFSETS))))["k"]
+    offsets = misses.select("__key", ((offset + nearest * (SCALE // OFFSETS)) % SCALE).alias("__offset"))
+    blocks = blocks.join(offsets, "__key")
     kept = [c for c in docs.columns if c.lower() not in ("source_size", "target", "copies")]
-    begin = F.col("__start") + F.col("__rate") * (F.row_number().over(inside) - 1)
-    crossed = F.floor((F.col("__begin") + F.col("__rate")) / SCALE) - F.floor(F.col("__begin") / SCALE)
     return (
         keyed.select(*kept, *block, "__order")
         .join(blocks, block)
-        .withColumn("__begin", begin)
-        .select(*kept, "source_size", "target", crossed.cast("long").alias("copies"))
+        .withColumn("__begin", base + F.col("__offset"))
+        .select(*kept, "source_size", "target", crossed(F.col("__begin")).cast("long").alias("copies"))
     )

@@ -50,15 +50,21 @@ placed AS (
   SELECT *, CASE WHEN size <= 0 THEN 0 ELSE length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) - 8 END AS cls,
          CAST('0x' || substr(digest, 1, 2) AS BIGINT) % 32 AS bucket, substr(digest, 3, 8) AS ord
   FROM sized),
-turned AS (SELECT *, CASE WHEN cls % 2 = 0 THEN -cls ELSE cls END AS turn FROM placed),
 ordered AS (
-  SELECT p.*, r.source_size, r.target, r.rate,
-         r.start + r.rate * (row_number() OVER (PARTITION BY p.skey ORDER BY turn, bucket, size DESC, ord, doc_id NULLS FIRST) - 1) AS began
-  FROM turned p JOIN rates r USING (skey))
+  SELECT p.*, r.source_size, r.target, r.rate, r.start,
+         r.rate * (row_number() OVER (PARTITION BY p.skey ORDER BY cls DESC, bucket, size DESC, ord, doc_id NULLS FIRST) - 1) AS base
+  FROM placed p JOIN rates r USING (skey)),
+tried AS (
+  SELECT skey, k, any_value(start + k * 1048576) % 16777216 AS shift,
+         abs(sum(size * ((base + (start + k * 1048576) % 16777216 + rate) // 16777216 - (base + (start + k * 1048576) % 16777216) // 16777216)) - any_value(target)) AS miss
+  FROM ordered, range(16) AS t(k) GROUP BY skey, k),
+offsets AS (
+  SELECT skey, shift FROM (SELECT *, row_number() OVER (PARTITION BY skey ORDER BY miss, k) AS pos FROM tried) WHERE pos = 1),
+begun AS (SELECT o.*, base + shift AS began FROM ordered o JOIN offsets USING (skey))
 SELECT doc_id, size, source_size, target,
        CAST(((began + rate) // 16777216 - began // 16777216) * size AS BIGINT) AS taken, source,
        CAST((began + rate) // 16777216 - began // 16777216 AS BIGINT) AS copies
-FROM ordered
+FROM begun
 """
 
 
