@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import mixing, packing, simhash
+from emberlog.llm import mixing, ogg, packing, quality, simhash, toxicity, urls
 from emberlog.llm.common import count_words, cut
 
 
@@ -76,5 +76,32 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_simhash_near_dedup)}
+def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_features(ogg.media_column(table(spark, sf_dir, "documents")))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_pack_sequences,
+        op3_simhash_near_dedup,
+        op4_ogg_media,
+        op5_url_filter,
+        op6_quality_rules,
+        op10_toxicity,
+    )
+}
 SQL = {"op1_mix_sources": OP1_SQL}
