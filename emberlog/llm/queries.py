@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import mixing, ogg, packing, quality, simhash, toxicity, urls
+from emberlog.llm import html_wrappers, licenses, mixing, ogg, packing, quality, secrets_crf, simhash, toxicity, urls
 from emberlog.llm.common import count_words, cut
 
 
@@ -88,6 +88,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_crf.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -101,6 +113,9 @@ QUERIES = {
         op4_ogg_media,
         op5_url_filter,
         op6_quality_rules,
+        op7_html_extraction,
+        op8_secret_scan,
+        op9_license_scan,
         op10_toxicity,
     )
 }
