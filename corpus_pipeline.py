@@ -1,11 +1,75 @@
-"""A training-data pipeline of the operators in ``emberlog.llm``: see STAGES."""
+"""A training-data pipeline of the operators in ``emberlog.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as the next stage's
+docs.  All but the last return the columns of ``documents``.
+
+1. toxicity: documents that the grammar rejects go; the grammar learns from ``labels`` (doc_id, toxic) in ``sf_dir``.
+2. near_dedup: of each SimHash component one document stays, the one with the least doc_id.  Rows without a doc_id cannot be
+   told apart by one and all stay; of rows that share a doc_id one stays.
+3. secrets: documents stay, every secret found in them is replaced by ``[SECRET]``.
+4. mixing: each document is repeated as often as the mix takes it, or goes; targets are those of the mixing operator.
+5. packing: documents become pieces with their places in sequences.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import posixpath
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlog.llm import mixing, packing, secrets_crf, simhash, toxicity
+from emberlog.llm.common import arrow_map, checkpoint_dir, count_words, text_or_empty
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below one half; a null text is never toxic."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked; n_chars follows the text."""
+    return secrets_crf.masked(docs, secrets_crf.train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs.withColumn("__size", count_words(F.col("text"))), size="__size")
+    repeats = mixed.where(F.col("copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeats.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2,048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Hashes, tokens and trained models have no form in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; what a stage returns is stored in the shared checkpoint folder."""
+    checkpoint_dir(spark)
+    folder = posixpath.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4().hex}")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        path = posixpath.join(folder, f"{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

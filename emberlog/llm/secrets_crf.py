@@ -21,10 +21,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import arrow_map, sampled, text_or_empty
+from emberlog.llm.common import arrow_map, bounded_batches, sampled, text_or_empty
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -298,3 +299,23 @@ def mask(text: str, spans: list[tuple[str, int, int]], word: str = "[SECRET]") -
             out += [text[at:start], word]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def masked(docs: DataFrame, field: Field | None) -> DataFrame:
+    """``docs`` with every secret of its texts replaced; ``n_chars``, where there is one, follows the text."""
+    tokens, names = Tokens(), docs.columns
+    place = names.index("text")
+    bounded_batches(docs.sparkSession)
+    counted = names.index("n_chars") if "n_chars" in names else None
+
+    def apply(batches):
+        for batch in batches:
+            columns = list(batch.columns)
+            texts = [t if t is None else mask(t, all_spans(t, tokens, field)[1]) for t in columns[place].to_pylist()]
+            if counted is not None:
+                old = zip(columns[counted].to_pylist(), columns[place].to_pylist(), texts, strict=True)
+                columns[counted] = pa.array([n if a == b else len(b) for n, a, b in old], columns[counted].type)
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(apply, docs.schema)

@@ -173,3 +173,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     every = cut(every.select("fp", "rows", F.when(F.col("__linked"), F.col("least")).otherwise(F.col("first")).alias("component_id")))
     found = skew_join(fps, every, "fp", "rows", total)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that stay when one of each component does, the one with the least doc_id.
+
+    A doc_id names a document: of rows that share one, one stays.  Rows without a doc_id all stay.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where(F.col("doc_id").isNull()).unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))

@@ -22,10 +22,11 @@ from collections import Counter
 from dataclasses import dataclass
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import arrow_map, sampled, text_or_empty
+from emberlog.llm.common import arrow_map, bounded_batches, sampled, text_or_empty
 
 #: Bounds of the training sample, by label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 6_000
@@ -218,3 +219,20 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, clauses)."""
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below one half, as they are; null and empty texts stay."""
+    lexicon, bias, best, total = Lexicon(model.lexicon), model.bias, model.best, model.total
+    place = docs.columns.index("text")
+    bounded_batches(docs.sparkSession)
+
+    def keep(batches):
+        for batch in batches:
+            clean = []
+            for text in batch.column(place).to_pylist():
+                b, t = clause_weights(text or "", lexicon)
+                clean.append(not t or bias + best * b + total * math.log1p(t) < 0)
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
