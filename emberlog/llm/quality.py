@@ -26,18 +26,17 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o".split(),
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce".split(),
 }
-#: Character classes; what is in none of them is "other".
+#: Character classes, frequent ones first; what is in none of them is "other".
 CHARACTER_CLASSES = {
-    "vowel": "aeiou",
     "consonant": "bcdfghjklmnpqrstvwxyz",
-    "capital": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "digit": "0123456789",
+    "vowel": "aeiou",
     "space": " \t\n\v\f\r",
     "stop": ".,;:!?",
+    "capital": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "symbol": "#*$%&|<>",
+    "digit": "0123456789",
     "bracket": "()[]{}\"'/\\-_=+@~^`",
 }
-SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Least size for a comparison, and the distance beyond which a text is rejected: by characters alone (0 to 1), and by the
 #: sum of both distances (0 to 2), which needs enough words.
@@ -95,19 +94,22 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line; long."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, CHARACTER_CLASSES["space"], "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def character_counts(text: Column) -> list[Column]:
-    known = [count_of(text, chars) for chars in CHARACTER_CLASSES.values()]
-    return [*known, F.length(text) - reduce(lambda a, b: a + b, known)]
+def character_counts(text: Column, classes: tuple[str, ...] = tuple(CHARACTER_CLASSES.values())) -> Column:
+    """Characters of each class, then the rest.  Each class is taken out of what the earlier ones left, which is soon little."""
+    if not classes:
+        return F.array(F.length(text).cast("long"))
+    rest = F.translate(text, classes[0], "")
+    return let(rest, lambda r: F.concat(F.array((F.length(text) - F.length(r)).cast("long")), character_counts(r, classes[1:])))
 
 
 def common_word_counts(words: Column) -> Column:
     """One string with a letter for each common word of the text: a histogram that takes a single pass."""
     letters = F.create_map(*(F.lit(x) for k, w in enumerate(VOCABULARY) for x in (w, chr(0x100 + k))))
-    common = F.filter(F.transform(F.filter(words, lambda w: F.length(w) <= max(map(len, VOCABULARY)) + 1), lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]$", "")), lambda w: w.isin(VOCABULARY))
+    common = F.filter(F.transform(F.filter(words, lambda w: F.length(w) <= max(map(len, VOCABULARY)) + 1), lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))), lambda w: w.isin(VOCABULARY))
     return F.array_join(F.transform(common, lambda w: F.element_at(letters, w)), "")
 
 
@@ -124,19 +126,19 @@ def histogram_columns(docs: DataFrame) -> DataFrame:
         "doc_id",
         "reference",
         let(words, measured).alias("w"),
-        (F.length(text) - count_of(text, CHARACTER_CLASSES["space"])).cast("long").alias("word_chars"),
-        count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
         duplicate_lines(text).alias("n_dup_lines"),
-        F.array(*(c.cast("long") for c in character_counts(text))).alias("chars"),
+        let(text, lambda t: character_counts(t)).alias("chars"),
     )
+    classes = list(CHARACTER_CLASSES)
+    everything = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
     letters = F.col("w")["letters"]
     common = [count_of(letters, chr(0x100 + k)).cast("long") for k in range(len(VOCABULARY))]
     return rows.select(
         "doc_id",
         "reference",
         F.col("w")["n_words"].alias("n_words"),
-        "word_chars",
-        "n_symbols",
+        (everything - F.col("chars")[classes.index("space")]).alias("word_chars"),
+        F.col("chars")[classes.index("symbol")].alias("n_symbols"),
         "n_dup_lines",
         F.col("w")["n_repeat_words"].alias("n_repeat_words"),
         "chars",
