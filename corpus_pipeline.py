@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import mixing, packing, secrets_crf, simhash, toxicity
-from emberlog.llm.common import arrow_map, checkpoint_dir, count_words, text_or_empty
+from emberlog.llm.common import checkpoint_dir, count_words
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs.withColumn("__size", count_words(F.col("text"))), size="__size")
-    repeats = mixed.where(F.col("copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeats.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", count_words(F.col("text")).alias("size"))  # so no name can clash
+    mixed = mixing.mix(rows).where(F.col("copies") > 0)
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ A document is tokenised, ended with one id, and cut only if it is longer than a
 their lengths alone, so the plan is made from the histogram of lengths, which has at most ``capacity`` entries at any input
 size.  The plan looks up, for the gap beside each length, a single, a pair or a triple of available lengths that fills it
 exactly, and consumes as many of that combination as availability allows; what then remains goes by best fit, largest first.
+Of plans with triples, with pairs at most, and with singles only, the one with the fewest sequences is used.
 Pieces of one length are exchangeable: each gets a rank among its equals, and the plan maps ranks to sequences.
 
 Ranks come from per-(length, bucket) counts, so a length that a third of all pieces have is never in one task.
@@ -97,15 +98,15 @@ def _largest_pair(free: np.ndarray, gap: int) -> tuple[int, ...]:
     return ()
 
 
-def exact_fill(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap``; None if there are none."""
+def exact_fill(free: np.ndarray, gap: int, most: int = 3) -> tuple[int, ...] | None:
+    """At most ``most`` (one, two or three) available lengths that sum to ``gap``; None if there are none."""
     if gap == 0:
         return ()
     if free[gap] > 0:
         return (gap,)
-    if pair := _largest_pair(free, gap):
+    if most >= 2 and (pair := _largest_pair(free, gap)):
         return pair
-    for c in np.flatnonzero(free[:gap])[::-1].tolist():
+    for c in np.flatnonzero(free[:gap])[::-1].tolist() if most >= 3 else ():
         free[c] -= 1
         pair = _largest_pair(free, gap - c)
         free[c] += 1
@@ -114,11 +115,7 @@ def exact_fill(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
     return None
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: pieces of it in each sequence}) for all pieces of the histogram.
-
-    Each step uses up at least one length, so there are at most as many entries as lengths, twice over.
-    """
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[int, dict[int, int]]]:
     free = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         free[length] = n
@@ -136,7 +133,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     for length in range(capacity, 0, -1):
         while free[length] > 0:
             free[length] -= 1
-            fill = exact_fill(free, capacity - length)
+            fill = exact_fill(free, capacity - length, most)
             free[length] += 1
             if fill is None:
                 break
@@ -157,6 +154,17 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     return plan
 
 
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """(times, {length: pieces of it in each sequence}) for all pieces of the histogram.
+
+    Combinations that use up many short pieces early can leave long ones without partners, so the plan is made with triples,
+    without them, and with single complements only, and the shortest is taken.  Each step uses up at least one length, so a
+    plan has at most twice as many entries as there are lengths.
+    """
+    plans = [_plan(histogram, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(times for times, _ in plan))
+
+
 def slot_table(plan: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     """Per length the rows (first rank, pieces per sequence, first sequence, offset), by first rank."""
     ranks: dict[int, int] = {}

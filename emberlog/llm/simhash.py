@@ -33,8 +33,10 @@ from emberlog.llm.common import arrow_map, bounded_batches, cut, skew_join, text
 
 SEED = 42
 WORDS = 3
-#: Fingerprints whose values are made at once, values that one bucket should hold, and fewest buckets.
-CHUNK, BUCKET_VALUES, MIN_BUCKETS = 1024, 2_000_000, 256
+#: Fingerprints whose values are made at once, values that one bucket should hold at most, and fewest buckets as bits.
+CHUNK, BUCKET_VALUES, MIN_BITS = 1024, 2_000_000, 8
+#: Values that a fingerprint emits on average: 1,057 of even parity, 65 of odd.
+VALUES_EACH = 561
 #: An odd factor that spreads values over buckets; multiplication by it modulo 2**64 can be undone.
 SPREAD = 0x9E3779B97F4A7C15
 UNSPREAD = pow(SPREAD, -1, 1 << 64)
@@ -103,7 +105,7 @@ def meet(spread: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def links(distinct: DataFrame, count: int) -> DataFrame:
     """Links (a, b) between ``count`` distinct fingerprints (fp) that carry all connections at three bits or fewer."""
     bounded_batches(distinct.sparkSession)
-    bits = max(MIN_BUCKETS, count * 561 // BUCKET_VALUES).bit_length() - (MIN_BUCKETS.bit_count() == 1)
+    bits = max(MIN_BITS, (count * VALUES_EACH // BUCKET_VALUES).bit_length())
     shift = np.uint64(64 - bits)
 
     def emit(batches):

@@ -48,11 +48,11 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """(rule, verdict) of the longest rule that fits; null if none does."""
-    chosen = None
+    chosen = F.when(F.lit(False), F.struct(F.lit("").alias("rule"), F.lit("").alias("verdict")))
     for h, p, verdict in sorted(rules, key=lambda r: -len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         value = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
-        chosen = F.when(fits, value) if chosen is None else chosen.when(fits, value)
+        chosen = chosen.when(fits, value)
     return chosen
 
 
