@@ -96,8 +96,8 @@ def flatten_path(path: str) -> str:
 def discovery_lines(lines: DataFrame, text: str = "text") -> DataFrame:
     """``path<TAB>size<TAB>epoch.fraction`` lines as (path, size_bytes, modified_time, size_human); others are left out."""
     parts = F.split(text, "\t", 3)
-    epoch = F.expr(f"try_cast(split({text}, '\t', 3)[2] AS DECIMAL(20, 9))")
-    size = F.expr(f"try_cast(split({text}, '\t', 3)[1] AS BIGINT)")
+    epoch = F.expr(f"try_cast(get(split({text}, '\t', 3), 2) AS DECIMAL(20, 9))")
+    size = F.expr(f"try_cast(get(split({text}, '\t', 3), 1) AS BIGINT)")
     rows = lines.select(F.get(parts, 0).alias("path"), size.alias("size_bytes"), F.date_format(F.timestamp_seconds(F.floor(epoch)), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified_time"))
     return rows.where("path <> '' AND size_bytes IS NOT NULL AND modified_time IS NOT NULL").withColumn("size_human", human_size(F.col("size_bytes")))
 
