@@ -20,7 +20,7 @@ they come in.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -35,6 +35,8 @@ SEED = 42
 WORDS = 3
 #: Fingerprints whose values are made at once, values that one bucket should hold at most, and fewest buckets as bits.
 CHUNK, BUCKET_VALUES, MIN_BITS = 1024, 2_000_000, 8
+#: Bits by which values are dealt in one shuffle.
+LEVEL_BITS = 12
 #: Values that a fingerprint emits on average: 1,057 of even parity, 65 of odd.
 VALUES_EACH = 561
 #: An odd factor that spreads values over buckets; multiplication by it modulo 2**64 can be undone.
@@ -102,47 +104,69 @@ def meet(spread: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return pairs[:, 0], pairs[:, 1]
 
 
+def blobs(spread: np.ndarray, codes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """One row per bucket: the values that share their first ``bits`` bits, and their codes, both packed."""
+    order = np.argsort(spread)
+    spread, codes = spread[order], codes[order]
+    buckets = spread >> np.uint64(64 - bits)
+    cuts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1], True]).tolist()
+    raw, marks = spread.tobytes(), codes.tobytes()
+    pairs = list(zip(cuts, cuts[1:], strict=False))
+    columns = [pa.array(buckets[cuts[:-1]].astype(np.int64)), pa.array([raw[8 * i : 8 * j] for i, j in pairs], pa.binary()), pa.array([marks[2 * i : 2 * j] for i, j in pairs], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, ["bucket", "spread", "codes"])
+
+
+def unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The values and codes of blobs."""
+    return tuple(np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in (("spread", np.uint64), ("codes", np.uint16)))
+
+
 def links(distinct: DataFrame, count: int) -> DataFrame:
-    """Links (a, b) between ``count`` distinct fingerprints (fp) that carry all connections at three bits or fewer."""
+    """Links (a, b) between ``count`` distinct fingerprints (fp) that carry all connections at three bits or fewer.
+
+    Values are dealt to at most ``2 ** LEVEL_BITS`` buckets at a time; where that leaves more than ``BUCKET_VALUES`` in one,
+    buckets are dealt again by their next bits, so a bucket that is joined always fits in memory.
+    """
     bounded_batches(distinct.sparkSession)
     bits = max(MIN_BITS, (count * VALUES_EACH // BUCKET_VALUES).bit_length())
-    shift = np.uint64(64 - bits)
+    steps = [*range(LEVEL_BITS, bits, LEVEL_BITS), bits]
 
     def emit(batches):
         waiting: list[np.ndarray] = []
-
-        def blobs(fps):
-            values, codes = ball(fps)
-            values *= np.uint64(SPREAD)
-            order = np.argsort(values)
-            values, codes = values[order], codes[order]
-            at = np.searchsorted(values, np.arange(1 << bits, dtype=np.uint64) << shift).tolist() + [len(values)]
-            full = [k for k in range(1 << bits) if at[k] < at[k + 1]]
-            raw, marks = values.tobytes(), codes.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([raw[8 * at[k] : 8 * at[k + 1]] for k in full], pa.binary()), pa.array([marks[2 * at[k] : 2 * at[k + 1]] for k in full], pa.binary())],
-                ["bucket", "spread", "codes"],
-            )
-
-        size = 0
         for batch in batches:
             waiting.append(np.asarray(batch.column(0)).view(np.uint64))
-            size += len(waiting[-1])
-            if size >= CHUNK:
-                fps = np.concatenate(waiting)
-                for k in range(0, size, CHUNK):
-                    yield from blobs(fps[k : k + CHUNK])
-                waiting, size = [], 0
-        if size:
-            yield from blobs(np.concatenate(waiting))
+            if sum(map(len, waiting)) >= CHUNK:
+                fps, waiting = np.concatenate(waiting), []
+                for k in range(0, len(fps), CHUNK):
+                    values, codes = ball(fps[k : k + CHUNK])
+                    yield from blobs(values * np.uint64(SPREAD), codes, steps[0])
+        if waiting:
+            values, codes = ball(np.concatenate(waiting))
+            yield from blobs(values * np.uint64(SPREAD), codes, steps[0])
+
+    def finer(step: int):
+        def deal(batches):
+            waiting, size = [], 0
+            for batch in batches:
+                waiting.append(unpacked(batch))
+                size += len(waiting[-1][0])
+                if size >= 2 * BUCKET_VALUES:
+                    yield from blobs(*map(np.concatenate, zip(*waiting, strict=True)), step)
+                    waiting, size = [], 0
+            if size:
+                yield from blobs(*map(np.concatenate, zip(*waiting, strict=True)), step)
+
+        return deal
 
     def join(table: pa.Table) -> pa.Table:
-        spread, codes = (np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in (("spread", np.uint64), ("codes", np.uint16)))
-        a, b = meet(spread, codes)
+        a, b = meet(*unpacked(table))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    emitted = distinct.select("fp").mapInArrow(emit, "bucket int, spread binary, codes binary")
-    return emitted.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+    schema = "bucket long, spread binary, codes binary"
+    dealt = distinct.select("fp").mapInArrow(emit, schema)
+    for step in steps[1:]:
+        dealt = dealt.repartition("bucket").mapInArrow(finer(step), schema)
+    return dealt.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, key: str = "node") -> DataFrame:

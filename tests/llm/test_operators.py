@@ -197,7 +197,7 @@ def test_simhash_matches_brute_force(documents, awkward):
         assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs).collect()) == expected
 
 
-def test_ball_meets_all_close_pairs_and_chains(spark):
+def test_ball_meets_all_close_pairs_and_chains(spark, monkeypatch):
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(40)]
     for f in fps[:20]:
@@ -216,7 +216,11 @@ def test_ball_meets_all_close_pairs_and_chains(spark):
     a, b = simhash.meet(values * np.uint64(simhash.SPREAD), codes)
     assert all((int(x) ^ int(y)).bit_count() <= 3 for x, y in zip(a, b, strict=True))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), len(fps))
+    frame = spark.createDataFrame([(s,) for s in signed], "fp long")
+    edges = simhash.links(frame, len(fps))
+    monkeypatch.setattr(simhash, "LEVEL_BITS", 5)
+    monkeypatch.setattr(simhash, "BUCKET_VALUES", 20)
+    assert sorted(map(tuple, simhash.links(frame, len(fps)).collect())) == sorted(map(tuple, edges.collect()))
     labels = {r.node: r.label for r in simhash.components(edges).collect()}
     roots = slow_components(fps)
     assert len(set(roots)) == len({labels.get(s, s) for s in signed})
