@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import event_type, human_size, normalize_message
@@ -81,6 +81,26 @@ def log_tail(spark, sf_dir):
     return formats.entries(line_source.tail(render.lines(spark, sf_dir), 50), "json").select("line_number", "message")
 
 
+def _file_query(name: str, compression: str):
+    @query(name, "SELECT level, count(*) AS count, min(t) AS first, max(t) AS last FROM e GROUP BY level", True)
+    def run(spark, sf_dir):
+        stored = line_source.read_lines(spark, render.stored_log(spark, sf_dir, compression), check=False)
+        return formats.entries(stored, "json").groupBy("level").agg(F.count(F.lit(1)).alias("count"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+_file_query("file_levels", "none")
+_file_query("file_levels_gzip", "gzip")
+_file_query("file_levels_bzip2", "bzip2")
+
+
+@query("file_line_numbers", "SELECT count(*) AS lines, CAST(0 AS BIGINT) AS wrong FROM events")
+def file_line_numbers(spark, sf_dir):
+    """Each stored file's lines are numbered from 1 in the order of their events."""
+    entries = formats.entries(line_source.read_lines(spark, render.stored_log(spark, sf_dir), check=False), "json")
+    per_file = Window.partitionBy("file").orderBy("timestamp", "line_number")
+    return entries.withColumn("k", F.row_number().over(per_file)).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("k") != F.col("line_number")).alias("wrong"))
+
+
 def _parse_query(name: str, format: str):
     _, stamp, level, source, message, extra = render.FORMATS[format]
     sql = f"SELECT line_number, {stamp} AS timestamp, {level} AS level, {source} AS source, {message} AS message, {extra} AS extra FROM e"

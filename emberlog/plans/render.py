@@ -6,6 +6,10 @@ find in the text.
 
 from __future__ import annotations
 
+import posixpath
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +124,15 @@ def stacked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", texts).select(F.lit("events").alias("file"), (F.col("event_id") * 3 + F.col("k") + 1).alias("line_number"), "text")
 
 
+def stored_log(spark: SparkSession, sf_dir: str, compression: str = "none") -> str:
+    """Write the JSON log as text files, four of them, to the shared folder; returns the folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberlog-log-")
+    folder = posixpath.join(shared, f"log-{uuid.uuid4().hex}")
+    rows = columns(spark, sf_dir).repartitionByRange(4, "line_number").sortWithinPartitions("line_number")
+    rows.select(F.expr(JSON).alias("text")).write.option("compression", compression).text(folder)
+    return folder
+
+
 def cte() -> str:
     """The same columns for DuckDB, as a CTE named ``e``."""
     inner = ", ".join(f"{v} AS {k}" for k, v in COLUMNS.items())

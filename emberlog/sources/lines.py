@@ -167,3 +167,9 @@ def context(lines: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("file", "__block").orderBy("line_number")
     out = spread.withColumns({"before_context": F.collect_list("text").over(w.rowsBetween(-n, -1)), "after_context": F.collect_list("text").over(w.rowsBetween(1, n))})
     return out.where(F.col("__own") == F.col("__block")).drop("__own", "__block")
+
+
+def preview(spark: SparkSession, path: str, limit: int = 100) -> str:
+    """A header and the first lines of a file, as text; at most ``limit`` lines come to the driver."""
+    rows = read_lines(spark, path).where(F.col("line_number") <= limit).orderBy("line_number").limit(limit).collect()
+    return "\n".join([f"# {path} (first {len(rows)} lines)", *(r["text"] for r in rows)])

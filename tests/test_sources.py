@@ -116,3 +116,8 @@ def test_discovery_and_rotations(spark):
     groups = {r.path: r.variants for r in files.rotation_groups(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
     assert groups == {"app.log": ["app.log.1", "app.log.2.gz", "app.log.10.gz"], "sys.3": [], "b.log": []}
     assert files.flatten_path("/var/log/a.log") == "var_log_a.log"
+
+
+def test_preview(spark, log):
+    path = log("a\nb\nc\n")
+    assert lines.preview(spark, path, 2) == f"# {path} (first 2 lines)\na\nb"
