@@ -35,7 +35,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
-SAMPLE_TEXTS, SAMPLE_WINDOWS, WINDOW, STEPS = 6_000, 3_000, 12, 120
+#: Bounds of the training sample: texts, characters of a text, windows; then tokens of a window and training steps.
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_WINDOWS, WINDOW, STEPS = 6_000, 50_000, 3_000, 12, 120
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: A secret that the field finds by itself has a core at least this long, with digits.
 MIN_CORE = 12
@@ -273,7 +274,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def train(docs: DataFrame) -> Field | None:
     """Train on a bounded sample of ``docs`` (doc_id, text)."""
-    rows = sampled(docs.select("doc_id", "text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), SAMPLE_TEXTS).select("doc_id", text_or_empty().alias("__text"))
+    rows = sampled(docs.select("doc_id", "text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), SAMPLE_TEXTS).select("doc_id", text_or_empty().alias("__text")).where(F.length("__text") <= SAMPLE_CHARS)
     return train_field([t for _, t in sorted((r[0] or 0, r[1]) for r in rows.collect())])
 
 

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import arrow_map, bounded_batches, sampled, text_or_empty
 
-#: Bounds of the training sample, by label.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 6_000
+#: Bounds of the training sample: rows by label, and characters of a text that is used to train.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_000, 6_000, 50_000
 #: A learned entry is in at least so many toxic texts, and in such a share of them; its cautious log-odds are at least these.
 STEMS, MIN_TEXTS, MIN_SHARE, LEAST_ODDS = range(4, 9), 3, 0.01, 2.0
 #: Held out: documents whose crc32(doc_id as text) is 0 modulo this.
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     chosen = sampled(usable.where("__toxic = 1"), F.col("doc_id"), SAMPLE_TOXIC).union(sampled(usable.where("__toxic = 0"), F.col("doc_id"), SAMPLE_CLEAN))
-    rows = docs.select("doc_id", text_or_empty().alias("__text")).join(F.broadcast(chosen), "doc_id").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN))
+    rows = docs.select("doc_id", text_or_empty().alias("__text")).where(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN))
     rows = sorted((r["doc_id"], r["__text"], r["__toxic"]) for r in rows.collect())
     texts, toxic = [r[1] for r in rows], [r[2] for r in rows]
     # the logistic function is fitted on the half of the sample that its lexicon has not seen, then the lexicon on all of it
