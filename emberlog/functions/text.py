@@ -32,6 +32,11 @@ LIFECYCLE = (
 DEFAULT_EVENT_TYPES = ("ERROR", "WARN", "FATAL", "startup", "shutdown", "deploy", "restart", "crash", "connection")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, wherever the optimizer moves the result."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def normalize_message(message: Column) -> Column:
     """The message with its variable parts replaced by placeholders."""
     for pattern, name in NORMAL_FORMS:

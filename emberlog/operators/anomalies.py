@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.text import ERROR_LEVELS, normalize_message
 from emberlog.functions.timeparse import parse_strict, window_start, zone_of
 from emberlog.operators.search import page
+from emberlog.session import stored
 from emberlog.sources.lines import BLOCK_LINES, clamp, running_sum
 
 #: How many times the average counts, by sensitivity.
@@ -18,6 +19,12 @@ RANKS = {"high": 0, "medium": 1, "low": 2}
 EVIDENCE = 5
 
 
+def narrow(parsed: DataFrame) -> DataFrame:
+    """What the four kinds need of the entries, stored once: texts and patterns are kept of errors alone."""
+    error = F.col("level").isin(*ERROR_LEVELS)
+    return stored(parsed.select("file", "line_number", "timestamp", "level", F.when(error, normalize_message(F.col("message"))).alias("pattern"), F.when(error, F.col("raw")).alias("raw")))
+
+
 def timed(parsed: DataFrame) -> DataFrame:
     """Entries with a time that can be parsed strictly, with ``time`` and ``is_error``."""
     rows = parsed.withColumns({"time": parse_strict(F.col("timestamp")), "is_error": F.coalesce(F.col("level").isin(*ERROR_LEVELS), F.lit(False))})
@@ -94,7 +101,9 @@ def new_error_types(parsed: DataFrame) -> DataFrame:
     total = parsed.count()
     edge = max(1, total * 8 // 10)
     numbered = running_sum(parsed, F.lit(1).cast("long"), "ordinal")
-    errors = numbered.where(F.col("level").isin(*ERROR_LEVELS)).withColumn("pattern", normalize_message(F.col("message")))
+    errors = numbered.where(F.col("level").isin(*ERROR_LEVELS))
+    if "pattern" not in parsed.columns:
+        errors = errors.withColumn("pattern", normalize_message(F.col("message")))
     grouped = errors.groupBy("pattern").agg(F.count(F.lit(1)).alias("count"), F.min("ordinal").alias("ordinal"), F.min_by("timestamp", "line_number").alias("timestamp"), F.min("line_number").alias("line_number"))
     text = F.concat(F.lit("new error pattern: "), F.col("pattern"))
     none = F.lit(None).cast("double")
@@ -104,8 +113,9 @@ def new_error_types(parsed: DataFrame) -> DataFrame:
 def detect_anomalies(parsed: DataFrame, minutes: int = 5, sensitivity: str = "medium") -> DataFrame:
     """All four kinds over parsed entries (file, line_number, timestamp, level, message, raw)."""
     minutes = clamp(minutes, 5, 60)
+    parsed = narrow(parsed)
     rows = timed(parsed)
-    windows, found = window_counts(rows, minutes), gaps(rows)
+    windows, found = stored(window_counts(rows, minutes)), gaps(rows)
     parts = [error_spikes(windows, sensitivity, minutes), rate_changes(windows, sensitivity, minutes), long_gaps(found, sensitivity), new_error_types(parsed)]
     return reduce(DataFrame.unionByName, parts)
 

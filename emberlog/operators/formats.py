@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.rx import groups, java
+from emberlog.functions.text import let
 from emberlog.sources.lines import sample
 
 EXTRA = "map<string,string>"
@@ -98,8 +99,14 @@ def parse_json(line: Column) -> Column:
     """One JSON object; keys of known fields in any case, of several the first in the fixed order wins."""
     options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
     objects = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>", options)
-    found = F.when(line.rlike(r"(?s)\A\s*(?:\{.*\}|null)\s*\z") & (F.size(objects) == 1), F.coalesce(objects[0], F.create_map().cast(EXTRA)))
-    pairs = F.map_entries(found)
+    one = let(objects, lambda o: F.when(F.size(o) == 1, F.coalesce(F.get(o, F.lit(0)), F.create_map().cast(EXTRA))))
+    found = F.when(line.rlike(r"(?s)\A\s*(?:\{.*\}|null)\s*\z"), one)
+    return let(found, lambda m: let(F.map_entries(m), lambda pairs: _json_entry(m, pairs)))
+
+
+def _json_entry(found: Column, pairs: Column) -> Column:
+    levels = F.create_map(*(F.lit(x) for pair in JSON_LEVELS.items() for x in pair))
+    fields = {k for name in ("timestamp", "message", "source") for k in JSON_KEYS[name]}
 
     def first(name: str) -> Column:
         keys = F.array(*map(F.lit, JSON_KEYS[name]))
@@ -107,9 +114,6 @@ def parse_json(line: Column) -> Column:
         ranked = F.transform(own, lambda p: F.struct(F.array_position(keys, F.lower(p["key"])).alias("rank"), F.coalesce(p["value"], F.lit("")).alias("value")))
         return _number_text(F.array_min(ranked)["value"])
 
-    levels = F.create_map(*(F.lit(x) for pair in JSON_LEVELS.items() for x in pair))
-    fields = {k for name in ("timestamp", "message", "source") for k in JSON_KEYS[name]}
-
     def is_extra(key: Column, value: Column) -> Column:
         known_level = F.lower(_number_text(F.coalesce(value, F.lit("")))).isin(*JSON_LEVELS)
         return ~F.lower(key).isin(*fields) & ~(F.lower(key).isin(*JSON_KEYS["level"]) & known_level)
@@ -119,14 +123,16 @@ def parse_json(line: Column) -> Column:
 
 
 def parse_spring(line: Column) -> Column:
-    a, b = groups(line, SPRING_3, 7), groups(line, SPRING_2, 6)
-    new = _entry(a.isNotNull(), a[0], _java_level(a[1]), a[5], a[6], {"pid": a[2], "app": _trimmed(a[3]), "thread": _trimmed(a[4])})
-    old = _entry(b.isNotNull(), b[0], _java_level(b[1]), b[4], b[5], {"pid": b[2], "thread": _trimmed(b[3])})
+    new = let(groups(line, SPRING_3, 7), lambda g: _entry(g.isNotNull(), g[0], _java_level(g[1]), g[5], g[6], {"pid": g[2], "app": _trimmed(g[3]), "thread": _trimmed(g[4])}))
+    old = let(groups(line, SPRING_2, 6), lambda g: _entry(g.isNotNull(), g[0], _java_level(g[1]), g[4], g[5], {"pid": g[2], "thread": _trimmed(g[3])}))
     return F.coalesce(new, old)
 
 
 def parse_logrus(line: Column) -> Column:
-    g = groups(line, LOGRUS, 6)
+    return let(groups(line, LOGRUS, 6), _logrus_entry)
+
+
+def _logrus_entry(g: Column) -> Column:
     level = F.when(g[1] == "WARNING", "WARN").when(g[1].isin("TRACE", "DEBUG", "WARN", "ERROR", "FATAL", "CRITICAL"), g[1]).otherwise("INFO")
     keys = F.slice(F.regexp_extract_all(g[5], F.lit(java(LOGRUS_PAIR)), 1), 1, 10)
     quoted = F.regexp_extract_all(g[5], F.lit(java(LOGRUS_PAIR)), 2)
@@ -143,18 +149,25 @@ def parse_logrus(line: Column) -> Column:
 
 
 def parse_logback_bracket(line: Column) -> Column:
-    g = groups(line, LOGBACK_BRACKET, 6)
+    return let(groups(line, LOGBACK_BRACKET, 6), _logback_bracket_entry)
+
+
+def _logback_bracket_entry(g: Column) -> Column:
     return _entry(g.isNotNull(), g[0], _java_level(g[2]), _trimmed(g[4]), _trimmed(g[5]), {"thread": _trimmed(g[1]), "trace_id": _unless(g[3], "")})
 
 
 def parse_logback(line: Column) -> Column:
-    a, b, c = (groups(line, p, 5) for p in (LOGBACK_A, LOGBACK_B, LOGBACK_C))
-    made = [(a, 2, 1), (b, 1, 2), (c, 2, 1)]
-    return F.coalesce(*(_entry(g.isNotNull(), g[0], g[level], g[3], g[4], {"thread": _trimmed(g[thread])}) for g, level, thread in made))
+    def made(pattern: str, level: int, thread: int) -> Column:
+        return let(groups(line, pattern, 5), lambda g: _entry(g.isNotNull(), g[0], g[level], g[3], g[4], {"thread": _trimmed(g[thread])}))
+
+    return F.coalesce(made(LOGBACK_A, 2, 1), made(LOGBACK_B, 1, 2), made(LOGBACK_C, 2, 1))
 
 
 def parse_erlang(line: Column) -> Column:
-    g = groups(line, ERLANG, 3)
+    return let(groups(line, ERLANG, 3), _erlang_entry)
+
+
+def _erlang_entry(g: Column) -> Column:
     kind = _trimmed(g[0])
     level = F.when(kind == "ERROR REPORT", "ERROR").when(kind == "CRASH REPORT", "FATAL").when(kind.isin("SUPERVISOR REPORT", "WARNING REPORT"), "WARN").otherwise("INFO")
     date = F.try_to_timestamp(F.concat(F.initcap(g[1]), F.lit(" "), g[2]), F.lit("d-MMM-yyyy HH:mm:ss"))
@@ -163,7 +176,10 @@ def parse_erlang(line: Column) -> Column:
 
 
 def parse_habitat(line: Column) -> Column:
-    g = groups(line, HABITAT, 5)
+    return let(groups(line, HABITAT, 5), _habitat_entry)
+
+
+def _habitat_entry(g: Column) -> Column:
     return _entry(g.isNotNull(), g[1], g[2], F.regexp_replace(g[3], r":\z", ""), g[4], {"worker": g[0]})
 
 
@@ -177,19 +193,28 @@ def _priority(text: Column) -> tuple[Column, dict[str, Column]]:
 
 
 def parse_syslog5424(line: Column) -> Column:
-    g = groups(line, SYSLOG_5424, 9)
+    return let(groups(line, SYSLOG_5424, 9), _syslog5424_entry)
+
+
+def _syslog5424_entry(g: Column) -> Column:
     level, extra = _priority(g[0])
     data = F.regexp_replace(g[7], r"(?s)\A\[(.*)\]\z", "$1")
     return _entry(g.isNotNull(), g[2], level, g[4], g[8], {"hostname": g[3], "version": g[1], "proc_id": _unless(g[5], "-"), "msg_id": _unless(g[6], "-"), "structured_data": F.when(g[7] != "", data)} | extra)
 
 
 def parse_journal(line: Column) -> Column:
-    g = groups(line, JOURNAL, 5)
+    return let(groups(line, JOURNAL, 5), _journal_entry)
+
+
+def _journal_entry(g: Column) -> Column:
     return _entry(g.isNotNull(), g[0], None, g[2], g[4], {"hostname": g[1], "pid": _unless(g[3], "")})
 
 
 def parse_syslog3164(line: Column) -> Column:
-    g = groups(line, SYSLOG_3164, 6)
+    return let(groups(line, SYSLOG_3164, 6), _syslog3164_entry)
+
+
+def _syslog3164_entry(g: Column) -> Column:
     level, extra = _priority(g[0])
     return _entry(g.isNotNull(), g[1], level, g[3], g[5], {"hostname": g[2], "proc_id": _unless(g[4], "")} | extra)
 
@@ -203,28 +228,35 @@ def _apache(g: Column, more: dict[str, Column]) -> Column:
 
 
 def parse_apache_combined(line: Column) -> Column:
-    g = groups(line, APACHE_COMBINED, 11)
-    return _apache(g, {"referer": _unless(g[9], "-"), "user_agent": g[10]})
+    return let(groups(line, APACHE_COMBINED, 11), lambda g: _apache(g, {"referer": _unless(g[9], "-"), "user_agent": g[10]}))
 
 
 def parse_apache_common(line: Column) -> Column:
-    return _apache(groups(line, APACHE_COMMON, 9), {})
+    return let(groups(line, APACHE_COMMON, 9), lambda g: _apache(g, {}))
 
 
 def parse_cri(line: Column) -> Column:
     """The container prefix, then the first of five formats that knows the rest; the prefix's timestamp wins."""
-    g = groups(line, CRI, 4)
+    return let(groups(line, CRI, 4), _cri_entry)
+
+
+def _cri_entry(g: Column) -> Column:
     inner = g[3]
     upper = F.upper(inner)
     level = F.when(upper.contains("ERROR"), "ERROR").when(upper.contains("WARN"), "WARN").when(upper.contains("DEBUG"), "DEBUG").when(g[1] == "stderr", "ERROR").otherwise("INFO")
-    tried = []
-    for name in ("json", "java-logback-bracket", "spring-boot", "go-logrus-bracket", "java-logback"):
-        e = PARSERS[name](inner)
+
+    def tried(name: str) -> Column:
         marks = F.create_map(F.lit("stream"), g[1], F.lit("inner_format"), F.lit(name))
-        own = F.map_filter(F.coalesce(e["extra"], F.create_map().cast(EXTRA)), lambda k, v: ~k.isin("stream", "inner_format"))
-        tried.append(_entry(e.isNotNull(), g[0], e["level"], e["source"], e["message"], F.map_concat(own, marks)))
+
+        def made(e: Column) -> Column:
+            own = F.map_filter(F.coalesce(e["extra"], F.create_map().cast(EXTRA)), lambda k, v: ~k.isin("stream", "inner_format"))
+            return _entry(e.isNotNull(), g[0], e["level"], e["source"], e["message"], F.map_concat(own, marks))
+
+        return let(PARSERS[name](inner), made)
+
     plain = _entry(g.isNotNull(), g[0], level, None, inner, {"stream": g[1]})
-    return F.when(g.isNotNull() & ~inner.rlike(java(CONTINUATION)), F.coalesce(*tried, plain))
+    names = ("json", "java-logback-bracket", "spring-boot", "go-logrus-bracket", "java-logback")
+    return F.when(g.isNotNull() & ~inner.rlike(java(CONTINUATION)), F.coalesce(*map(tried, names), plain))
 
 
 #: The formats in the order in which detection prefers them.
@@ -275,13 +307,22 @@ def entry_columns() -> list:
     return ["file", "line_number", F.lit(1).alias("line_count"), *parts.values(), F.col("text").alias("raw"), F.col("entry.extra").alias("extra_fields"), "format"]
 
 
+NO_ENTRY = "struct<timestamp:string,level:string,source:string,message:string,extra:map<string,string>>"
+
+
 def entries(lines: DataFrame, format: str) -> DataFrame:
-    """Parsed lines (file, line_number, line_count, timestamp, level, source, message, raw, extra_fields, format); others are left out."""
-    if format not in PARSERS:
-        return attempts(lines, "json").where(F.lit(False)).select(*entry_columns())
-    return attempts(lines, format).where(F.col("entry").isNotNull()).select(*entry_columns())
+    """Parsed lines (file, line_number, line_count, timestamp, level, source, message, raw, extra_fields, format); others are left out.
+
+    The entry comes out of a generator, so filters on its fields stay above it and a line is parsed once.
+    """
+    found = F.array_compact(F.array(_parsed(format)))
+    return lines.select("file", "line_number", "text", F.explode(found).alias("entry")).withColumn("format", F.lit(format)).select(*entry_columns())
 
 
 def attempts(lines: DataFrame, format: str) -> DataFrame:
     """All lines with their ``entry``, null where the line is not of the format."""
-    return lines.withColumns({"entry": parse(F.col("text"), format) if format in PARSERS else F.lit(None).cast("struct<timestamp:string,level:string,source:string,message:string,extra:map<string,string>>"), "format": F.lit(format)})
+    return lines.select("*", F.explode(F.array(_parsed(format))).alias("entry")).withColumn("format", F.lit(format))
+
+
+def _parsed(format: str) -> Column:
+    return parse(F.col("text"), format) if format in PARSERS else F.lit(None).cast(NO_ENTRY)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -13,3 +15,11 @@ def session(master: str | None = None, partitions: int | None = None) -> SparkSe
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the folder that spark.checkpoint.dir names; a temporary one only where none is named."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberlog-checkpoint-"))
+    return df.checkpoint(eager=True)
