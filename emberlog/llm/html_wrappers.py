@@ -7,9 +7,11 @@ one and single in the other becomes a repeated group; what only one has becomes
 variable.  Alignment also works between wrappers, so a host's pages are folded where they lie and only wrappers are merged,
 first by (host, salt) and then by host: no task needs all pages of a host.
 
-The wrapper says which texts of a host never change (boilerplate outside the article) and, for pages that mark no article, which
-container holds the most changing text.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are known by their elements, roles and class words.
+The wrapper selects the text of every page of a host with ``MIN_PAGES`` different pages or more: the slots of all containers
+whose text changes and is not mostly links, without the texts that stand on ``CONSTANT_SHARE`` of the host's different pages.
+Copies of a page count once.  ``article`` and ``main`` only check that choice, and stand in for it on hosts with fewer pages.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by their elements,
+roles and class words.
 
 Nulls: a null page is read like an empty one, with an empty text; a null URL has the empty host; null page_ids are kept.
 Equal rows give equal texts.  An empty table gives an empty result.
@@ -18,6 +20,7 @@ Equal rows give equal texts.  An empty table gives an empty result.
 from __future__ import annotations
 
 import difflib
+import functools
 import html
 import json
 import re
@@ -44,17 +47,22 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-MIN_CONSTANT_PAGES = 3
+#: A host's wrapper decides from so many different pages; a text on this share of them (and on so many) is boilerplate.
+MIN_PAGES, CONSTANT_SHARE = 3, 0.5
+#: A container with a larger share of its characters in links is navigation.
+LINK_SHARE = 0.5
 SALTS = 64
+#: Elements that are parts of a text; the container of a slot is the innermost element that is none of them.
+TEXT_PARTS = frozenset("p li ul ol blockquote h1 h2 h3 h4 h5 h6 pre".split())
 
 
 class Block:
-    """A text block: its text, the path of its containers, whether it is left out, and whether an article holds it."""
+    """A text block: its text, the path of its containers, whether it is left out, whether an article holds it, linked characters."""
 
-    __slots__ = ("article", "left_out", "path", "text")
+    __slots__ = ("article", "left_out", "links", "path", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], left_out: bool, article: int):
-        self.text, self.path, self.left_out, self.article = text, path, left_out, article
+    def __init__(self, text: str, path: tuple[str, ...], left_out: bool, article: int, links: int):
+        self.text, self.path, self.left_out, self.article, self.links = text, path, left_out, article, links
 
 
 def read_page(source: str) -> tuple[list[Block], list[str | Block]]:
@@ -63,14 +71,17 @@ def read_page(source: str) -> tuple[list[Block], list[str | Block]]:
     blocks: list[Block] = []
     stream: list[str | Block] = []
     pieces: list[str] = []
+    linked, link = 0, None  # characters of the pieces in links; depth of the open link
 
     def flush():
+        nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
+            links, linked = linked, 0
             if text:
                 left, rank = (stack[-1][2], stack[-1][3]) if stack else (False, 0)
-                block = Block(text, tuple(s[1] for s in stack), left, rank)
+                block = Block(text, tuple(s[1] for s in stack), left, rank, min(links, len(text)))
                 blocks.append(block)
                 stream.append(block)
 
@@ -78,6 +89,8 @@ def read_page(source: str) -> tuple[list[Block], list[str | Block]]:
     for m in _TOKEN.finditer(source):
         if m.start() > at:
             pieces.append(source[at : m.start()])
+            if link is not None:
+                linked += len(pieces[-1].strip())
         at = m.end()
         name = m["name"]
         if not name:
@@ -86,12 +99,16 @@ def read_page(source: str) -> tuple[list[Block], list[str | Block]]:
         if name == "br":
             pieces.append(" ")
             continue
+        if name == "a":
+            link = None if m["end"] else len(stack)
         block = name in BLOCKS
         if m["end"]:
             if any(s[0] == name for s in stack):
                 flush()
                 while stack.pop()[0] != name:
                     pass
+                if link is not None and len(stack) < link:  # its end tag is missing
+                    link = None
             elif block:
                 flush()
             if block and name not in CLOSED_BY_SAME:  # those ends may be left out, so they tell nothing
@@ -120,8 +137,9 @@ def read_page(source: str) -> tuple[list[Block], list[str | Block]]:
     return blocks, stream
 
 
-# A wrapper is a list of nodes [kind, name, kids, optional, pages, constant, mass].  Kinds: t (tag), s (slot), r (repeated group).
-# A slot's name is its path, its constant the hash of its text, or None once texts differed; mass is the characters it held.
+# A wrapper is a list of nodes [kind, name, kids, optional, pages, constant, mass, links].  Kinds: t (tag), s (slot), r (repeated
+# group).  A slot's name is its path, its constant the hash of its text, or None once texts differed; mass is the characters it
+# held, links those in links.
 
 
 def node_key(node: list) -> str:
@@ -134,7 +152,7 @@ def text_hash(path: str, text: str) -> int:
 
 def merge_nodes(a: list, b: list) -> list:
     kids = [merge_nodes(x, y) for x, y in zip(a[2], b[2], strict=True)]
-    return [a[0], a[1], kids, a[3] or b[3], a[4] + b[4], a[5] if a[5] == b[5] else None, a[6] + b[6]]
+    return [a[0], a[1], kids, a[3] or b[3], a[4] + b[4], a[5] if a[5] == b[5] else None, a[6] + b[6], a[7] + b[7]]
 
 
 def fold(nodes: list) -> list:
@@ -154,7 +172,7 @@ def fold(nodes: list) -> list:
                 kids = [merge_nodes(x, y) for x, y in zip(kids, nodes[k + t * period : k + (t + 1) * period], strict=True)]
             for kid in kids:
                 kid[4] = 1
-            out.append(kids[0] if period == 1 and kids[0][0] == "r" else ["r", "", kids, False, 1, None, 0])
+            out.append(kids[0] if period == 1 and kids[0][0] == "r" else ["r", "", kids, False, 1, None, 0, 0])
             k += times * period
         nodes = out
     return nodes
@@ -164,10 +182,10 @@ def page_wrapper(stream: list) -> list:
     nodes = []
     for x in stream:
         if isinstance(x, str):
-            nodes.append(["t", x, [], False, 1, None, 0])
+            nodes.append(["t", x, [], False, 1, None, 0, 0])
         else:
             path = "/".join(x.path)
-            nodes.append(["s", path, [], False, 1, text_hash(path, x.text), 0 if x.left_out else len(x.text)])
+            nodes.append(["s", path, [], False, 1, text_hash(path, x.text), *((0, 0) if x.left_out else (len(x.text), x.links))])
     return fold(nodes)
 
 
@@ -178,7 +196,7 @@ def group_singles(nodes: list, other: list) -> list:
         out, k = [], 0
         while k < len(nodes):
             if [node_key(n) for n in nodes[k : k + len(want)]] == want:
-                out.append(["r", "", nodes[k : k + len(want)], False, nodes[k][4], None, 0])
+                out.append(["r", "", nodes[k : k + len(want)], False, nodes[k][4], None, 0, 0])
                 k += len(want)
             else:
                 out.append(nodes[k])
@@ -212,39 +230,59 @@ def expression(nodes: list) -> str:
     return "".join(map(one, nodes))
 
 
-def summary(nodes: list) -> str:
-    """What extraction needs of a wrapper: hashes of texts that never change, and the container with most changing text."""
-    constant, mass = [], {}
+def container_of(path: tuple[str, ...]) -> str:
+    end = len(path)
+    while end and path[end - 1].split(".")[0] in TEXT_PARTS:
+        end -= 1
+    return "/".join(path[:end])
+
+
+def page_slots(blocks: list[Block]) -> str:
+    """What tells different pages apart: the hashes of a page's texts that are not left out, each once."""
+    return ",".join(map(str, sorted({text_hash("/".join(b.path), b.text) for b in blocks if not b.left_out})))
+
+
+def summary(nodes: list, constants: list[int]) -> str:
+    """What extraction needs of a wrapper: the constant texts' hashes, and the containers of changing text that are not navigation."""
+    fixed, mass = set(constants), {}
 
     def walk(n: list):
         for kid in n[2]:
             walk(kid)
-        if n[0] == "s":
-            if n[5] is not None and n[4] >= MIN_CONSTANT_PAGES:
-                constant.append(n[5])
-            elif n[6]:
-                path = n[1].split("/")
-                while path and path[-1].split(".")[0] in ("p", "li", "ul", "ol", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "pre"):
-                    path.pop()
-                mass["/".join(path)] = mass.get("/".join(path), 0) + n[6]
+        if n[0] == "s" and n[6] and n[5] not in fixed:
+            held = mass.setdefault(container_of(tuple(n[1].split("/"))), [0, 0])
+            held[0] += n[6]
+            held[1] += n[7]
 
     for n in nodes:
         walk(n)
-    return json.dumps([sorted(set(constant)), max(mass, key=lambda p: (mass[p], p)) if mass else ""])
+    return json.dumps([sorted(fixed), sorted(p for p, (n, links) in mass.items() if links <= LINK_SHARE * n)])
+
+
+@functools.lru_cache(64)
+def _summarized(text: str) -> tuple[frozenset, frozenset]:
+    constant, containers = json.loads(text)
+    return frozenset(constant), frozenset(containers)
+
+
+def choose(source: str, summarized: str | None) -> tuple[str, list[Block]]:
+    """(who decides, blocks of the main text): wrapper; or article, or page where there is no article either."""
+    held = [b for b in read_page(source)[0] if not b.left_out]
+    best = max((b.article for b in held), default=0)
+    article = [b for b in held if b.article == best] if best else []
+    if summarized:
+        constant, containers = _summarized(summarized)
+        changing = [b for b in held if text_hash("/".join(b.path), b.text) not in constant]
+        inside = [b for b in changing if container_of(b.path) in containers]
+        # an article whose changing text was missed altogether shows that the wrapper is wrong about this page
+        if inside and (any(b.article == best for b in inside) or not any(b.article == best for b in changing)):
+            return "wrapper", inside
+    return ("article", article) if article else ("page", held)
 
 
 def main_text(source: str, summarized: str | None) -> str:
     """The main text of a page, given its host's summarized wrapper."""
-    blocks, stream = read_page(source)
-    held = [b for b in blocks if not b.left_out]
-    best = max((b.article for b in held), default=0)
-    if best:
-        return "\n\n".join(b.text for b in held if b.article == best)
-    constant, container = json.loads(summarized) if summarized else ([], "")
-    constant = set(constant)
-    held = [b for b in held if text_hash("/".join(b.path), b.text) not in constant]
-    inside = [b for b in held if container and "/".join(b.path).startswith(container)]
-    return "\n\n".join(b.text for b in inside or held)
+    return "\n\n".join(b.text for b in choose(source, summarized)[1])
 
 
 def _source(name: str):
@@ -252,16 +290,21 @@ def _source(name: str):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, rows, wrapper) of ``pages`` (host, html): one row per host; the wrapper is JSON."""
+    """(host, rows, wrapper, pages, constants) of ``pages`` (host, html): one row per host; the wrapper is JSON.
+
+    ``pages`` counts the host's different pages; ``constants`` has the hashes of the texts on a large share of them.
+    """
 
     def local(hosts, sources) -> Iterator[tuple]:
         found: dict[str, tuple[int, list]] = {}
         for host, source in zip(hosts, sources, strict=True):
-            nodes = page_wrapper(read_page(source)[1])
+            blocks, stream = read_page(source)
+            nodes = page_wrapper(stream)
             seen = found.get(host)
             found[host] = (1, nodes) if seen is None else (seen[0] + 1, align(seen[1], nodes))
+            yield host, None, None, page_slots(blocks)
         for host, (n, nodes) in found.items():
-            yield host, n, json.dumps(nodes)
+            yield host, n, json.dumps(nodes), None
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("wrapper")
@@ -271,22 +314,39 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "rows": [int(frame["rows"].sum())], "wrapper": [json.dumps(nodes)]})
 
     schema = "host string, rows long, wrapper string"
-    parts = arrow_map(pages.select("host", _source("html")), local, schema)
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    return salted.groupBy("host", "salt").applyInPandas(merged, schema).groupBy("host").applyInPandas(merged, schema)
+    read = cut(arrow_map(pages.select("host", _source("html")), local, schema + ", slots string"))
+    salted = read.where(F.col("slots").isNull()).select("host", "rows", "wrapper").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    found = salted.groupBy("host", "salt").applyInPandas(merged, schema).groupBy("host").applyInPandas(merged, schema)
+    different = read.where(F.col("slots").isNotNull()).select("host", "slots").distinct()
+    # the empty slot counts the pages; no more than 1 / CONSTANT_SHARE times a page's texts are constant, so lists are short
+    counted = different.select("host", F.explode(F.concat(F.array(F.lit("")), F.array_remove(F.split("slots", ","), ""))).alias("slot")).groupBy("host", "slot").count()
+    totals = counted.where(F.col("slot") == "").select("host", F.col("count").alias("pages"))
+    often = (F.col("count") >= MIN_PAGES) & (F.col("count") >= F.col("pages") * CONSTANT_SHARE)
+    constants = counted.join(totals, "host").groupBy("host").agg(F.first("pages").alias("pages"), F.concat_ws(",", F.collect_list(F.when((F.col("slot") != "") & often, F.col("slot")))).alias("constants"))
+    return found.join(constants, "host")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of ``pages`` (page_id, url, html)."""
+    return decided(pages).drop("decided_by")
+
+
+def decided(pages: DataFrame) -> DataFrame:
+    """``extract`` with the column ``decided_by``: wrapper, article or page."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    learned = arrow_map(wrappers(rows), lambda hosts, sizes, found: ((h, n, summary(json.loads(w))) for h, n, w in zip(hosts, sizes, found, strict=True)), "host string, rows long, wrapper string")
-    learned = cut(learned)
+
+    def summaries(hosts, sizes, found, different, constants) -> Iterator[tuple]:
+        for host, n, text, m, fixed in zip(hosts, sizes, found, different, constants, strict=True):
+            yield host, n, summary(json.loads(text), [int(c) for c in fixed.split(",") if c]) if m >= MIN_PAGES else None
+
+    learned = cut(arrow_map(wrappers(rows).select("host", "rows", "wrapper", "pages", "constants"), summaries, "host string, rows long, wrapper string"))
     total = learned.agg(F.sum("rows")).first()[0] or 0
     joined = skew_join(rows, learned, "host", "rows", total, "left")
 
     def texts(ids, urls, sources, found) -> Iterator[tuple]:
         for page, url, source, summarized in zip(ids, urls, sources, found, strict=True):
-            text = main_text(source, summarized)
-            yield page, url, text, len(text)
+            by, blocks = choose(source, summarized)
+            text = "\n\n".join(b.text for b in blocks)
+            yield page, url, text, len(text), by
 
-    return arrow_map(joined.select(F.col("page_id").cast("long"), F.col("url").cast("string"), _source("html"), "wrapper"), texts, "page_id long, url string, text string, n_chars long")
+    return arrow_map(joined.select(F.col("page_id").cast("long"), F.col("url").cast("string"), _source("html"), "wrapper"), texts, "page_id long, url string, text string, n_chars long, decided_by string")

@@ -400,6 +400,35 @@ def test_wrapper_without_article(spark):
     assert html_wrappers.expression(nodes).count("(<p>#)+") == 1
 
 
+def html_texts(spark, sources, host="h.org"):
+    rows = [(k, f"http://{host}/{k}", f"<html><body>{s}</body></html>") for k, s in enumerate(sources)]
+    found = html_wrappers.decided(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: (r.text, r.decided_by) for r in found}
+
+
+def test_wrapper_decides_pages_with_an_article(spark):
+    sources = [f"<article><h1>Title {k}</h1><p>Story number {k} of many</p><p>Support our work today</p><div class=box>All rights held</div></article><div class=more><a href=x>See story {k + 1}</a></div>" for k in range(6)]
+    assert html_texts(spark, sources) == {k: (f"Title {k}\n\nStory number {k} of many", "wrapper") for k in range(6)}
+    few = html_texts(spark, sources[:2])
+    assert few[0] == ("Title 0\n\nStory number 0 of many\n\nSupport our work today\n\nAll rights held", "article")
+
+
+def test_copies_of_a_page_are_not_boilerplate(spark):
+    page = "<div class=top>Always here</div><div class=body><p>The one story of this host</p></div>"
+    for mark in (page, page.replace("div class=body", "article")):
+        assert all("The one story of this host" in text for text, _ in html_texts(spark, [mark] * 5).values())
+    others = [page.replace("The one", f"Another {k}") for k in range(6)]
+    optional = page.replace("</p>", "</p><p>Only the copies say this</p>")
+    found = html_texts(spark, [optional] * 4 + others)
+    assert {found[k][0] for k in range(4)} == {"The one story of this host\n\nOnly the copies say this"}
+    assert found[4] == ("Another 0 story of this host", "wrapper")
+
+
+def test_all_containers_of_changing_text_stay(spark):
+    sources = [f"<div class=top>Always here</div><div class=intro><p>Intro {k}</p></div><div class=body><p>Body {k} is the longer one</p></div><div class=list><a href=x>Go on to page {k}</a></div>" for k in range(6)]
+    assert html_texts(spark, sources) == {k: (f"Intro {k}\n\nBody {k} is the longer one", "wrapper") for k in range(6)}
+
+
 def test_alignment_makes_optionals_and_repeats():
     make = lambda s: html_wrappers.page_wrapper(html_wrappers.read_page(s)[1])
     a = make("<body><ul><li>1<li>2<li>3</ul><h2>x</h2><hr></body>")
