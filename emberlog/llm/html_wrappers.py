@@ -319,11 +319,13 @@ def wrappers(pages: DataFrame) -> DataFrame:
     found = salted.groupBy("host", "salt").applyInPandas(merged, schema).groupBy("host").applyInPandas(merged, schema)
     different = read.where(F.col("slots").isNotNull()).select("host", "slots").distinct()
     # the empty slot counts the pages; no more than 1 / CONSTANT_SHARE times a page's texts are constant, so lists are short
-    counted = different.select("host", F.explode(F.concat(F.array(F.lit("")), F.array_remove(F.split("slots", ","), ""))).alias("slot")).groupBy("host", "slot").count()
+    slots = different.select("host", F.explode(F.concat(F.array(F.lit("")), F.array_remove(F.split("slots", ","), ""))).alias("slot"))
+    counted = cut(slots.groupBy("host", "slot").count().where((F.col("slot") == "") | (F.col("count") >= MIN_PAGES)))
     totals = counted.where(F.col("slot") == "").select("host", F.col("count").alias("pages"))
-    often = (F.col("count") >= MIN_PAGES) & (F.col("count") >= F.col("pages") * CONSTANT_SHARE)
-    constants = counted.join(totals, "host").groupBy("host").agg(F.first("pages").alias("pages"), F.concat_ws(",", F.collect_list(F.when((F.col("slot") != "") & often, F.col("slot")))).alias("constants"))
-    return found.join(constants, "host")
+    total = totals.agg(F.sum("pages")).first()[0] or 0
+    often = skew_join(counted.where(F.col("slot") != ""), totals, "host", "pages", total).where(F.col("count") >= F.col("pages") * CONSTANT_SHARE)
+    constants = often.groupBy("host").agg(F.concat_ws(",", F.sort_array(F.collect_list("slot"))).alias("constants"))
+    return found.join(totals, "host").join(constants, "host", "left").withColumn("constants", F.coalesce("constants", F.lit("")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
