@@ -2,9 +2,11 @@
 
 A rule is a host and a path; it fits URLs on that host and its subdomains whose path starts with the rule's, and the longest
 fitting rule decides.  URLs that no rule fits are judged by boosted regression trees on length, depth, digit ratio, entropy,
-parameter counts and suffix statistics.  The trees are trained on labelled URLs (by default those the rules decide): statistics
-of suffixes count all labelled rows, in a fixed number of hashed bins; the trees are fitted on a bounded sample of
-``TRAINING_ROWS`` (documented limit) and then applied as one SQL expression.
+parameter counts, spam words and suffix statistics.  The trees are trained on labelled URLs.  By default the labels are lexical
+evidence and no function of the rules' hosts: URLs with spam words are bad, those with none that no rule blocks are good, others
+have no label; half of the training rows hide their words, so the trees learn the shape of such URLs as well.  Statistics of
+suffixes count all labelled rows but those of the row's own group of hosts, in a fixed number of hashed bins; a suffix that no
+other group has is neutral.  The trees are fitted on a bounded sample of ``TRAINING_ROWS`` (documented limit) and then applied as one SQL expression.
 
 Nulls: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged on its other features.  Equal
 rows are judged alike.  Without labelled rows of both kinds the trees say allow.  An empty table gives an empty result.
@@ -23,8 +25,14 @@ from emberlog.llm.quality import count_of, let
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows (at most twice as many) that the trees are fitted on, bins of the suffix statistics, and the model's size.
 TRAINING_ROWS, SUFFIX_BINS = 5_000, 256
+#: Groups of hosts; the suffix statistics of a host leave its own group out.
+GROUPS = 8
 TREES, DEPTH, RATE, CUTS, MIN_LEAF = 30, 3, 0.3, 16, 5
-#: The trees block a URL only when they are this sure; the labelled rows are a choice of hosts, not a fair share of all URLs.
+#: Words of a host or path that show spam, and words of a host that do so only together.
+SPAM_WORDS = "casino casinos poker bet bets betting jackpot roulette lottery pill pills viagra cialis pharma adult porn porno xxx escort escorts webcam spam adserver ads warez keygen torrent torrents malware phishing payday"
+DOUBTFUL_WORDS = "free win winner cheap bonus prize track tracker tracking click clicks farm deals loan loans replica slots hot sex"
+EVIDENCE = 2
+#: The trees block a URL only when they are this sure; lexical labels miss some bad URLs, and the rest shall stay.
 BLOCK_AT = 0.9
 
 #: The rules of the registered query: (host, path, verdict).
@@ -68,13 +76,22 @@ def entropy(text: Column) -> Column:
     return let(F.filter(F.split(text, ""), lambda x: x != ""), of)
 
 
+def word_evidence(host: Column, path: Column) -> Column:
+    """Twice the spam words of host and path, and the doubtful words of the host."""
+
+    def count(text: Column, words: str) -> Column:
+        return F.regexp_count(text, F.lit(f"(?i)(?<![a-z])(?:{'|'.join(words.split())})(?![a-z])"))
+
+    return EVIDENCE * count(F.concat(host, path), SPAM_WORDS) + count(host, DOUBTFUL_WORDS)
+
+
 def suffix_bin(host: Column, labels: int) -> Column:
     """The hashed bin of a host's last labels."""
     return F.pmod(F.xxhash64(F.substring_index(host, ".", -labels)), F.lit(SUFFIX_BINS)).cast("int")
 
 
 def with_features(pages: DataFrame) -> DataFrame:
-    """Add the columns f0, f1, ... and the two suffix bins."""
+    """Add the columns f0, f1, ..., the group of the host and the two suffix bins."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host, path = F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
@@ -98,21 +115,26 @@ def with_features(pages: DataFrame) -> DataFrame:
         url.startswith("https://").cast("int"),
         count_of(url, "%@~"),
         F.length(F.substring_index(host, ".", 1)),
+        word_evidence(host, path),
     ]
-    return pages.withColumns({f"f{k}": f.cast("double") for k, f in enumerate(features)} | {"bin1": suffix_bin(host, 1), "bin2": suffix_bin(host, 2)})
+    return pages.withColumns({f"f{k}": f.cast("double") for k, f in enumerate(features)} | {"group": F.pmod(F.xxhash64(host, F.lit(5)), F.lit(GROUPS)).cast("int"), "bin1": suffix_bin(host, 1), "bin2": suffix_bin(host, 2)})
 
 
-FEATURES = [f"f{k}" for k in range(18)] + ["s1", "s2"]
+FEATURES = [f"f{k}" for k in range(19)] + ["s1", "s2"]
+WORDS = FEATURES[18]
 
 
 def suffix_statistics(labelled: DataFrame, name: str) -> list[float]:
-    """Smoothed share of blocked rows per bin, over all labelled rows."""
-    rows = labelled.groupBy(name).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n")).collect()  # at most SUFFIX_BINS
+    """Smoothed share of blocked rows per bin and group of hosts (at bin * GROUPS + group), over the labelled rows of all other groups."""
+    rows = labelled.groupBy(name, "group").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n")).collect()  # at most SUFFIX_BINS * GROUPS
     share = sum(r["blocked"] for r in rows) / max(1, sum(r["n"] for r in rows))
-    found = [share] * SUFFIX_BINS
+    blocked, n = [0] * (SUFFIX_BINS * GROUPS), [0] * (SUFFIX_BINS * GROUPS)
     for r in rows:
-        found[r[name]] = (r["blocked"] + 10 * share) / (r["n"] + 10)
-    return found
+        for group in range(GROUPS):
+            if group != r["group"]:
+                blocked[r[name] * GROUPS + group] += r["blocked"]
+                n[r[name] * GROUPS + group] += r["n"]
+    return [(b + 10 * share) / (k + 10) for b, k in zip(blocked, n, strict=True)]
 
 
 def fit_trees(rows: list[list[float]], labels: list[int]) -> tuple[float, list]:
@@ -170,23 +192,29 @@ def tree_sql(tree) -> str:
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, score) for ``pages`` (page_id, url).
 
-    ``labelled`` (url, label; 1 is block) trains the trees; by default the URLs that a rule decides.  The score is the log-odds
-    of block.
+    ``labelled`` (url, label; 1 is block) trains the trees; by default lexical evidence labels ``pages`` itself.  The score is
+    the log-odds of block.
     """
 
     def parsed(frame: DataFrame) -> DataFrame:
         return frame.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
 
     rows = parsed(pages.select("page_id", "url")).withColumn("decided", rule_of(F.col("host"), F.col("path"), rules))
-    if labelled is None:
-        labelled = rows.where(F.col("decided").isNotNull()).select("url", (F.col("decided")["verdict"] == "block").cast("int").alias("label"))
+    lexical = labelled is None
+    if lexical:
+        evidence = word_evidence(F.col("host"), F.col("path"))
+        blocked = F.coalesce(F.col("decided")["verdict"] == "block", F.lit(False))
+        labelled = rows.select("url", F.when(evidence >= EVIDENCE, 1).when((evidence == 0) & ~blocked, 0).alias("label"))
     known = with_features(parsed(labelled.select("url", "label").where(F.col("label").isNotNull())))
     tables = [suffix_statistics(known, "bin1"), suffix_statistics(known, "bin2")]
 
     def filled(frame: DataFrame) -> DataFrame:
-        return frame.withColumns({f"s{n + 1}": F.get(F.array(*map(F.lit, t)), F.col(f"bin{n + 1}")) for n, t in enumerate(tables)})
+        return frame.withColumns({f"s{n + 1}": F.get(F.array(*map(F.lit, t)), F.col(f"bin{n + 1}") * GROUPS + F.col("group")) for n, t in enumerate(tables)})
 
-    sample = filled(sampled(known, F.col("url"), TRAINING_ROWS)).select(*FEATURES, "label").orderBy(*FEATURES, "label").collect()
+    sample = filled(sampled(known, F.col("url"), TRAINING_ROWS))
+    if lexical:
+        sample = sample.withColumn(WORDS, F.when(F.pmod(F.xxhash64("url", F.lit(11)), F.lit(2)) == 0, F.col(WORDS)).otherwise(0.0))
+    sample = sample.select(*FEATURES, "label").orderBy(*FEATURES, "label").collect()
     start, trees = fit_trees([list(r)[:-1] for r in sample], [r["label"] for r in sample])
     scored = filled(with_features(rows)).withColumn("score", F.expr(" + ".join([f"{start!r}D", *map(tree_sql, trees)])))
     verdict = F.coalesce(F.col("decided")["verdict"], F.when(F.col("score") > math.log(BLOCK_AT / (1 - BLOCK_AT)), "block").otherwise("allow"))

@@ -322,6 +322,18 @@ def test_url_trees_learn(spark):
     assert wrong <= 3
 
 
+def test_url_trees_do_not_echo_the_rules(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = [f"http://{word()}.example.{top}/{path}/{word()}" for top, path in (("com", "en"), ("net", "es"), ("net", "en"), ("org", "en")) for _ in range(150)]
+    rows += [f"http://{a}-{word()}.example.{top}/en/{word()}" for a in ("casino", "viagra", "poker") for top in ("com", "net", "org") for _ in range(15)]
+    found = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).where("rule is null").collect()
+    bad = [r.verdict for r in found if "-" in r.host]
+    good = [r.verdict for r in found if "-" not in r.host]
+    assert len(good) == 300 and good.count("block") <= 3
+    assert len(bad) == 90 and bad.count("block") >= 87
+
+
 # 6 quality
 
 
