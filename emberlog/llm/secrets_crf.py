@@ -260,11 +260,21 @@ def field_spans(text: str, tokens: Tokens, field: Field) -> list[tuple[str, int,
     return out
 
 
+def beyond(text: str, span: tuple[str, int, int], base: list[tuple[str, int, int]]) -> bool:
+    """Whether a span has letters or digits that no base span covers."""
+    _, at, end = span
+    for _, start, stop in base:
+        if start < end and stop > at:
+            if any(map(str.isalnum, text[at:start])):
+                return True
+            at = stop
+    return any(map(str.isalnum, text[at:end]))
+
+
 def all_spans(text: str, tokens: Tokens, field: Field | None) -> tuple[list, list]:
-    """(base spans, all spans): the field adds spans that overlap no base span."""
+    """(base spans, all spans): the field adds, whole, the spans that cover more than the base spans do."""
     base = base_spans(text)
-    more = field_spans(text, tokens, field) if field else []
-    more = [s for s in more if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
+    more = [s for s in field_spans(text, tokens, field) if beyond(text, s, base)] if field else []
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -523,6 +523,18 @@ def test_scan_and_mask(documents, awkward, field):
     assert secrets_crf.mask("a token=abcdefg b", [("assign", 2, 15), ("hex", 8, 12)]) == "a [SECRET] b"
 
 
+def test_field_spans_beyond_base_spans_stay(monkeypatch):
+    text = 'a password="Tr0ub4dor&3horse-battery9" key9f8e7d6c5b b'
+    for end in (37, 53):  # the token alone, and a run with the next one
+        monkeypatch.setattr(secrets_crf, "field_spans", lambda *_, end=end: [("crf", 2, end)])
+        base, spans = secrets_crf.all_spans(text, None, object())
+        assert base == [("assign", 2, 21)] and spans == [("assign", 2, 21), ("crf", 2, end)]
+        assert secrets_crf.mask(text, spans) == "a [SECRET]" + text[end:]
+    for covered in (("crf", 2, 21), ("crf", 2, 22), ("crf", 12, 21)):
+        monkeypatch.setattr(secrets_crf, "field_spans", lambda *_, covered=covered: [covered])
+        assert secrets_crf.all_spans(text, None, object())[1] == base
+
+
 # 9 licenses
 
 
