@@ -16,26 +16,29 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch.  Texts may be long, so batches stay far below Spark's default of 10,000 rows.
-BATCH_ROWS = 500
+#: Rows and bytes in one Arrow batch.  Texts may be long, so batches stay far below Spark's default of 10,000 rows.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for very long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches small enough for very long texts.
+
+    Spark reads these settings when a plan runs, after the caller has it, so they stay; what the session sets itself is kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Use the folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named and all is local."""
     sc = spark.sparkContext
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberlog-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberlog-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -104,10 +107,15 @@ def skew_join(many: DataFrame, one: DataFrame, key: str, rows: str, total: int,
     return many.join(few, key).unionByName(cold.join(one.where(~hot), key, how))
 
 
-def sampled(df: DataFrame, key: Column, rows: int, seed: int = 7) -> DataFrame:
-    """About ``rows`` rows, the same ones on each run, chosen by a hash of ``key``; at most twice ``rows``."""
-    n = df.count()
-    if n <= rows:
-        return df
-    share = int(rows / n * 1_000_000) + 1
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < share).limit(2 * rows)
+def sampled(df: DataFrame, keys: list[Column], rows: int, size: Column | None = None, most: int = 0, seed: int = 7) -> DataFrame:
+    """About ``rows`` of the rows that differ in ``keys``, the same ones on each run; at most twice as many.
+
+    Rows are chosen by a hash of all keys, and equal ones count once, so neither a hot key nor equal rows can take the sample
+    or empty it.  With ``size`` the sample is so much smaller that its sizes come to about ``most``.
+    """
+    named = df.withColumn("__hash", F.xxhash64(*keys, F.lit(seed)))
+    n, mean = named.agg(F.approx_count_distinct("__hash", 0.02), F.avg(size if size is not None else F.lit(1))).first()
+    wanted = rows if size is None else max(1, min(rows, int(most / max(mean or 1, 1))))
+    if n > wanted:
+        named = named.where(F.pmod("__hash", F.lit(1 << 40)) < int(wanted / n * (1 << 40)))
+    return named.dropDuplicates(["__hash"]).orderBy("__hash").limit(2 * wanted).drop("__hash")

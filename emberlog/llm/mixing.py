@@ -5,7 +5,9 @@ again by weight until no source is above its cap.  Within a source every documen
 The expectations are summed up over the source's documents, one random offset is added, and a document is emitted once
 for each integer its stretch of the running sum crosses.  Documents are ordered by size class, so the words taken stay close
 to the target and not only the number of documents.  Where a few long documents make up a source, the offset still matters;
-so of ``OFFSETS`` evenly shifted forms of the one random offset the source uses the one whose words come nearest its target.
+so of ``offsets`` evenly shifted forms of the one random offset the source uses the one whose words come nearest its target.
+With that choice a document's copies are within one of the expected number, but no longer have it as their exact mean;
+``offsets=1`` is plain systematic sampling.
 
 No source is ever brought into one task: a source is split into blocks (size class, hash bucket); block counts give the
 running sum at the block's start, and only the documents of one block are ordered together.
@@ -72,6 +74,7 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_repeats: int = MAX_REPEATS,
     seed: str = "mix",
+    offsets: int = OFFSETS,
 ) -> DataFrame:
     """Add ``source_size``, ``target`` and ``copies`` (how often the mix has the document, at most ``max_repeats``).
 
@@ -97,13 +100,13 @@ def mix(
     def crossed(begin):
         return F.floor((begin + F.col("__rate")) / SCALE) - F.floor(begin / SCALE)
 
-    shifts = [(offset + k * (SCALE // OFFSETS)) % SCALE for k in range(OFFSETS)]
+    shifts = [(offset + k * (SCALE // offsets)) % SCALE for k in range(offsets)]
     tried = keyed.select(size, doc_id, *block, "__order").join(blocks, block).withColumn("__base", base)
     words = [F.sum(F.col(size) * crossed(F.col("__base") + shift)) for shift in shifts]
     misses = tried.groupBy("__key").agg(F.first("target").alias("__target"), *(w.alias(f"__w{k}") for k, w in enumerate(words)))
-    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"__w{k}") - F.col("__target")).alias("miss"), F.lit(k).alias("k")) for k in range(OFFSETS))))["k"]
-    offsets = misses.select("__key", ((offset + nearest * (SCALE // OFFSETS)) % SCALE).alias("__offset"))
-    blocks = blocks.join(offsets, "__key")
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"__w{k}") - F.col("__target")).alias("miss"), F.lit(k).alias("k")) for k in range(offsets))))["k"]
+    chosen = misses.select("__key", ((offset + nearest * (SCALE // offsets)) % SCALE).alias("__offset"))
+    blocks = blocks.join(chosen, "__key")
     kept = [c for c in docs.columns if c.lower() not in ("source_size", "target", "copies")]
     return (
         keyed.select(*kept, *block, "__order")

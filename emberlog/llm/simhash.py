@@ -26,7 +26,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import arrow_map, bounded_batches, cut, skew_join, text_or_empty
@@ -187,24 +187,45 @@ def components(edges: DataFrame, key: str = "node") -> DataFrame:
         labels = cut(lower.join(of, "label", "left").select(key, F.coalesce("__next", "label").alias("label")))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of ``docs`` (doc_id, text); the component is named by its least doc_id."""
-    fps = cut(fingerprints(docs, words))
+def grouped(fps: DataFrame, best: Column) -> tuple[DataFrame, int]:
+    """(fp, rows, label, best) per distinct fingerprint of ``fps`` (fp, ...), and the number of rows.
+
+    Fingerprints of one component share a label; ``best`` is an aggregate over the rows of all of the component.
+    """
     total = fps.count()
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
+    distinct = cut(fps.groupBy("fp").agg(best.alias("best"), F.count(F.lit(1)).alias("rows")))
     nodes = cut(components(cut(links(distinct, distinct.count()))).withColumnRenamed("node", "fp"))
-    named = nodes.join(distinct, "fp").groupBy("label").agg(F.min("first").alias("least"))
-    joined = nodes.join(named, "label").select("fp", "least", F.lit(True).alias("__linked"))
+    named = nodes.join(distinct, "fp").groupBy("label").agg(F.min("best").alias("least"))
+    joined = nodes.join(named, "label").select("fp", "label", "least", F.lit(True).alias("__linked"))
     every = distinct.join(joined, "fp", "left")
-    every = cut(every.select("fp", "rows", F.when(F.col("__linked"), F.col("least")).otherwise(F.col("first")).alias("component_id")))
-    found = skew_join(fps, every, "fp", "rows", total)
+    linked = F.col("__linked").isNotNull()
+    return cut(every.select("fp", "rows", F.when(linked, F.col("label")).otherwise(F.col("fp")).alias("label"), F.when(linked, F.col("least")).otherwise(F.col("best")).alias("best"))), total
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of ``docs`` (doc_id, text); the component is named by its least doc_id."""
+    fps = cut(fingerprints(docs, words))
+    every, total = grouped(fps, F.min("doc_id"))
+    found = skew_join(fps, every.select("fp", "rows", F.col("best").alias("component_id")), "fp", "rows", total)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) that stay when one of each component does, the one with the least doc_id.
+def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that stay when one of each component does.
 
-    A doc_id names a document: of rows that share one, one stays.  Rows without a doc_id all stay.
+    Each row is a document of its own: that with the least doc_id stays (one without a doc_id only where all are), of rows
+    with the same doc_id the one with the least hash of all its columns; of rows equal in all columns one stays.  So rows
+    that share a doc_id but lie in different components all stay, and no component loses its last row.
     """
-    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNull()).unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    names = docs.columns
+    own = docs.select(*(F.col(c) for c in names), F.xxhash64(*names).alias("__h1"), F.xxhash64(F.lit(1), *(F.col(c) for c in reversed(names))).alias("__h2"))
+
+    def rows(ids, texts, first, second):
+        for doc, text, a, b in zip(ids, texts, first, second, strict=True):
+            fp = fingerprint(text, words)
+            yield doc, fp - (1 << 64) if fp >> 63 else fp, a, b
+
+    fps = cut(arrow_map(own.select(F.col("doc_id").cast("long"), text_or_empty(), "__h1", "__h2"), rows, "doc_id long, fp long, h1 long, h2 long"))
+    every, _ = grouped(fps, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")))
+    kept = every.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.h1").alias("__h1"), F.col("best.h2").alias("__h2"))
+    return own.dropDuplicates(["__h1", "__h2"]).join(kept.distinct(), ["__h1", "__h2"], "left_semi").select(*names)

@@ -7,7 +7,7 @@ composed into one machine by pairing their states; a clause's weight is the weig
 count.  A document's score is a logistic function of its strongest clause and of all its clauses.
 
 Lexicon and logistic function are learned from a bounded sample of labelled rows: about ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``
-rows, never ones that are held out.  Only texts enter a score.
+rows of together ``SAMPLE_TOTAL`` characters, never ones that are held out.  Only texts enter a score.
 
 Nulls: a null text is scored like an empty one, lowest of all; a null doc_id counts as held out.  Null labels are ignored.
 Equal texts get equal scores.  Without usable labels only the fixed threat words are known.  An empty table gives an empty result.
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import arrow_map, bounded_batches, sampled, text_or_empty
+from emberlog.llm.common import arrow_map, bounded_batches, cut, sampled, text_or_empty
 
-#: Bounds of the training sample: rows by label, and characters of a text that is used to train.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_000, 6_000, 50_000
+#: Bounds of the training sample: rows by label, characters of a text that is used to train, and of all of them.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, SAMPLE_TOTAL = 2_000, 6_000, 50_000, 40_000_000
 #: A learned entry is in at least so many toxic texts, and in such a share of them; its cautious log-odds are at least these.
 STEMS, MIN_TEXTS, MIN_SHARE, LEAST_ODDS = range(4, 9), 3, 0.01, 2.0
 #: Held out: documents whose crc32(doc_id as text) is 0 modulo this.
@@ -192,8 +192,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of documents that are not held out."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    chosen = sampled(usable.where("__toxic = 1"), F.col("doc_id"), SAMPLE_TOXIC).union(sampled(usable.where("__toxic = 0"), F.col("doc_id"), SAMPLE_CLEAN))
-    rows = docs.select("doc_id", text_or_empty().alias("__text")).where(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN))
+    chosen = sampled(usable.where("__toxic = 1"), [F.col("doc_id")], SAMPLE_TOXIC).union(sampled(usable.where("__toxic = 0"), [F.col("doc_id")], SAMPLE_CLEAN))
+    rows = docs.select("doc_id", text_or_empty().alias("__text")).where(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
+    rows = sampled(cut(rows), [F.col("doc_id"), F.col("__text")], SAMPLE_TOXIC + SAMPLE_CLEAN, F.length("__text"), SAMPLE_TOTAL)
     rows = sorted((r["doc_id"], r["__text"], r["__toxic"]) for r in rows.collect())
     texts, toxic = [r[1] for r in rows], [r[2] for r in rows]
     # the logistic function is fitted on the half of the sample that its lexicon has not seen, then the lexicon on all of it

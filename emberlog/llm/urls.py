@@ -211,7 +211,7 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> D
     def filled(frame: DataFrame) -> DataFrame:
         return frame.withColumns({f"s{n + 1}": F.get(F.array(*map(F.lit, t)), F.col(f"bin{n + 1}") * GROUPS + F.col("group")) for n, t in enumerate(tables)})
 
-    sample = filled(sampled(known, F.col("url"), TRAINING_ROWS))
+    sample = filled(sampled(known, [F.col("url")], TRAINING_ROWS))
     if lexical:
         sample = sample.withColumn(WORDS, F.when(F.pmod(F.xxhash64("url", F.lit(11)), F.lit(2)) == 0, F.col(WORDS)).otherwise(0.0))
     sample = sample.select(*FEATURES, "label").orderBy(*FEATURES, "label").collect()

@@ -229,6 +229,25 @@ def test_ball_meets_all_close_pairs_and_chains(spark, monkeypatch):
             assert (roots[i] == roots[j]) == (labels.get(signed[i], signed[i]) == labels.get(signed[j], signed[j]))
 
 
+def test_keep_one_decides_by_row(spark):
+    long = lambda seed: prose(random.Random(seed), 80)
+    t, u, v = long(1), long(2), long(3)
+    rows = [(1, t, "a", 1), (5, t, "b", 1), (5, u, "c", 1), (None, u, "d", 1), (None, v, "e", 1), (None, v, "e", 1), (None, v, "f", 1), (9, None, "g", 1), (None, "", "h", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, h1 int")
+    kept = sorted(((str(r.doc_id), r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([("1", t), ("5", u), ("None", v), ("9", None)], key=str)
+    assert sorted(map(str, simhash.keep_one(docs.repartition(5)).collect())) == sorted(map(str, simhash.keep_one(docs.repartition(2)).collect()))
+
+
+def test_sampled_survives_hot_keys(spark):
+    same = spark.createDataFrame([(None, "x")] * 3000 + [(None, str(k)) for k in range(3000)], "doc_id long, text string")
+    got = common.sampled(same, [F.col("doc_id"), F.col("text")], 500).collect()
+    assert 350 <= len(got) <= 700 and got == common.sampled(same.repartition(3), [F.col("doc_id"), F.col("text")], 500).collect()
+    assert common.sampled(same.where("text = 'x'"), [F.col("text")], 500).count() == 1
+    few = common.sampled(same, [F.col("text")], 500, F.length("text"), 300).agg(F.sum(F.length("text"))).first()[0]
+    assert 100 <= few <= 700
+
+
 # 4 Ogg
 
 
@@ -477,30 +496,83 @@ def test_secret_base_spans_match_brute_force(documents):
         assert [f"{k}:{a}:{b}" for k, a, b in secrets_crf.base_spans(text)] == slow_spans(text)
 
 
+def prose(rng, n):
+    words = ["".join(rng.choice(["la", "en", "ti", "ro", "sa", "mu", "ne", "der", "ing"]) for _ in range(rng.randrange(1, 4))) for _ in range(n)]
+    return " ".join(w.capitalize() + "." if k % 9 == 8 else w for k, w in enumerate(words))
+
+
 @pytest.fixture(scope="module")
-def field():
+def texts_to_train():
     rng = random.Random(9)
-    texts = []
-    for k in range(300):
-        words = ["".join(rng.choice("aeioulnst") for _ in range(rng.randrange(2, 9))) for _ in range(40)]
-        if k % 3 == 0:
-            words.insert(20, rng.choice(["password=", "token = ", "secret: "]) + "".join(rng.choice("0123456789abcdef") for _ in range(18 + k % 9)))
-        if k % 3 == 1:
-            words.insert(10, rng.choice(["12", "3.14", "2024-01-02", "10.0.0.1", "(555)"]))
-        texts.append(" ".join(words))
-    return secrets_crf.train_field(texts)
+    texts = [prose(rng, 40) for _ in range(300)]
+    for k in range(0, 300, 3):
+        texts[k] += rng.choice([" password=", " token = ", " secret: "]) + "".join(rng.choice("0123456789abcdef") for _ in range(18 + k % 9)) + " la"
+        texts[k + 1] += rng.choice([" 12", " 3.14", " 2024-01-02", " 10.0.0.1", " (555)", " la.12@mail.example.com"]) + " ro"
+    return texts
+
+
+@pytest.fixture(scope="module")
+def field(texts_to_train):
+    return secrets_crf.train_field(texts_to_train)
+
+
+#: Made apart from the generators that train: kind to (generator, kinds that are withheld from training).
+UNSEEN = {
+    "ghp": (lambda d: "ghp_" + d(62, 36), ("prefixed",)),
+    "sk": (lambda d: "sk-" + d(62, 48), ("prefixed",)),
+    "pwd": (lambda d: "pwd=" + d(16, 20), ("named_hex",)),
+    "base64": (lambda d: d(62, 40) + "/+", ("base64",)),
+    "web token": (lambda d: f"eyJhbGciOiJIUzI1NiJ9.{d(62, 60)}.{d(62, 43)}", ("web_token",)),
+}
+
+
+def found_share(field, make, seed=11, n=60):
+    rng, hits = random.Random(seed), 0
+    digits = "0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz"
+    tokens = field.tokens()
+    for _ in range(n):
+        before, secret = prose(rng, rng.randrange(30)), make(lambda m, k: "".join(rng.choice(digits[:m]) for _ in range(k)))
+        text = f"{before} {secret} {prose(rng, rng.randrange(30))}"
+        at = len(before) + 1
+        hits += any(a < at + len(secret) and b > at for _, a, b in secrets_crf.field_spans(text, tokens, field))
+    return hits / n
+
+
+def test_field_finds_planted_secrets(field, texts_to_train):
+    for name, (make, _) in UNSEEN.items():
+        assert found_share(field, make) >= 0.9, name
+    kinds = {k for _, withheld in UNSEEN.values() for k in withheld} - {"named_hex"}
+    blind = secrets_crf.train_field(texts_to_train, {k: v for k, v in secrets_crf.PLANTED.items() if k not in kinds})
+    for name, (make, _) in UNSEEN.items():
+        assert found_share(blind, make) >= 0.8, name
 
 
 def test_field_finds_what_patterns_miss_and_leaves_prose(field):
-    tokens = secrets_crf.Tokens()
+    tokens = field.tokens()
     text = "le eno sat pwd=9f8e7d6c5b4a39281706 tal eno le sat ino lea"
     assert any(a <= text.index("9f8e") < b for _, a, b in secrets_crf.field_spans(text, tokens, field))
     for clean in ("the cat sat on the mat and it was a very good day for all", "call 555-1234 on 2024-01-02 or write a.b@c.org to 10.0.0.1 please do it", ""):
         assert secrets_crf.field_spans(clean, tokens, field) == []
+    rng, wrong = random.Random(12), 0
+    words = prose(rng, 200).replace(".", "").split()
+    for name, make in secrets_crf.HARMLESS.items():
+        for _ in range(20):
+            text = f"{prose(rng, 12)} {make(rng, words)} {prose(rng, 12)}"
+            wrong += bool(secrets_crf.field_spans(text, tokens, field)) and not secrets_crf.base_spans(text)
+    assert wrong <= 0.03 * 20 * len(secrets_crf.HARMLESS)
+
+
+def test_field_learns_from_short_texts():
+    rng = random.Random(13)
+    texts = [f"{prose(rng, 3)} token = {''.join(rng.choice('0123456789abcdef') for _ in range(20))}" for _ in range(80)] + [prose(rng, 4) for _ in range(80)]
+    field = secrets_crf.train_field(texts, planted={})
+    text = "la ro token = 00112233445566778899"
+    assert [text[a:b] for _, a, b in secrets_crf.field_spans(text, field.tokens(), field)] == ["token = 00112233445566778899"]
+    assert secrets_crf.train_field(["la ro", ""], planted={}, harmless={}) is None
 
 
 def test_runs_decode_like_whole_texts(field, documents):
-    tokens = secrets_crf.Tokens()
+    tokens = field.tokens()
     for text in SECRETS + [r.text for r in documents.limit(100).collect()]:
         words = text.split()
         if words:
