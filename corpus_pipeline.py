@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as
 docs.  All but the last return the columns of ``documents``.
 
 1. toxicity: documents that the grammar rejects go; the grammar learns from ``labels`` (doc_id, toxic) in ``sf_dir``.
-2. near_dedup: of each SimHash component one document stays, the one with the least doc_id.  Rows without a doc_id cannot be
-   told apart by one and all stay; of rows that share a doc_id one stays.
+2. near_dedup: of each SimHash component one row stays, the one with the least doc_id (a row without one only where all are);
+   each row is a document of its own, so rows that share a doc_id but differ in text do not replace each other.
 3. secrets: documents stay, every secret found in them is replaced by ``[SECRET]``.
 4. mixing: each document is repeated as often as the mix takes it, or goes; targets are those of the mixing operator.
 5. packing: documents become pieces with their places in sequences.
@@ -63,8 +63,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a stored stage, on whatever file system it lies."""
+    stored = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stored, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; what a stage returns is stored in the shared checkpoint folder."""
+    """Apply the stages to documents; what a stage returns is stored in the shared checkpoint folder until the next one is."""
     checkpoint_dir(spark)
     folder = posixpath.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -72,4 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = posixpath.join(folder, f"{k}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete(spark, posixpath.join(folder, f"{k - 1}-{STAGES[k - 1][0]}"))
     return docs

@@ -7,12 +7,13 @@ find in the text.
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.session import shared_folder
+
 SPARK_TS = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
 DUCKDB_TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
@@ -126,8 +127,7 @@ def stacked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_log(spark: SparkSession, sf_dir: str, compression: str = "none") -> str:
     """Write the JSON log as text files, four of them, to the shared folder; returns the folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberlog-log-")
-    folder = posixpath.join(shared, f"log-{uuid.uuid4().hex}")
+    folder = posixpath.join(shared_folder(spark), f"log-{uuid.uuid4().hex}")
     rows = columns(spark, sf_dir).repartitionByRange(4, "line_number").sortWithinPartitions("line_number")
     rows.select(F.expr(JSON).alias("text")).write.option("compression", compression).text(folder)
     return folder
