@@ -47,5 +47,13 @@ def window_start(time: Column, minutes: int) -> Column:
 
 
 def zone_of(ts: Column) -> Column:
-    """The offset that a timestamp text carries."""
-    return F.regexp_extract(ts, r"(Z|[+-]\d{2}:\d{2})\z", 1)
+    """The offset that a timestamp text carries; ``Z`` for none and for a zero offset."""
+    zone = F.regexp_extract(ts, r"(Z|[+-]\d{2}:\d{2})\z", 1)
+    return F.when(zone.isin("", "+00:00", "-00:00"), "Z").otherwise(zone)
+
+
+def stamp_text(seconds: Column, zone: Column) -> Column:
+    """Seconds since 1970 as RFC 3339 text in an offset that ``zone_of`` gives."""
+    part = [F.substring(zone, k, 2).try_cast("int") for k in (2, 5)]
+    shift = F.when(zone == "Z", 0).otherwise(F.when(F.substring(zone, 1, 1) == "-", -60).otherwise(60) * (part[0] * 60 + part[1]))
+    return F.concat(F.date_format(F.timestamp_seconds(seconds + shift), "yyyy-MM-dd'T'HH:mm:ss"), zone)

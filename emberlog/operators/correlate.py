@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.errors import QueryError
 from emberlog.functions.rx import java
 from emberlog.functions.timeparse import hours_between, parse_general
+from emberlog.session import stored
 from emberlog.sources.lines import clamp
 
 MAX_GROUPS = 50
@@ -51,21 +52,29 @@ def check_paths(paths: list[str]) -> None:
         raise QueryError("INVALID_INPUT", "2 to 10 paths are needed")
 
 
+#: Slices that the time span is cut into, at most; the tables with one row per slice are ordered in one task.
+SLICES = 20_000
+
+
 def time_groups(parsed: DataFrame, gap_seconds: float) -> DataFrame:
     """Extension: runs of events with no gap above ``gap_seconds`` that are in at least two files: (group_start, files, size).
 
-    Events are dealt to hours; an hour's first event is compared with the last one of an earlier hour.
+    Events are dealt to slices of time, which grow with the whole span and not with the number of events; a slice's first
+    event is compared with the last one of an earlier slice.
     """
     rows = parsed.withColumn("time", parse_general(F.col("timestamp"))).where(F.col("time").isNotNull())
-    rows = rows.select("time", "file", "line_number", F.date_trunc("hour", "time").alias("hour"))
-    inside = Window.partitionBy("hour").orderBy("time", "file", "line_number")
-    hours = rows.groupBy("hour").agg(F.max("time").alias("end"))
-    hours = hours.select("hour", F.lag("end").over(Window.orderBy("hour")).alias("end"))
-    near = rows.join(hours, "hour").withColumn("since", F.coalesce(F.lag("time").over(inside), F.col("end")))
+    rows = stored(rows.select("time", "file", "line_number"))
+    first, last = rows.agg(F.min(F.unix_seconds("time")), F.max(F.unix_seconds("time"))).first()
+    width = max(1, ((last or 0) - (first or 0)) // (SLICES - 1) + 1)
+    rows = rows.withColumn("slice", F.floor((F.unix_seconds("time") - F.lit(first or 0)) / width))
+    inside = Window.partitionBy("slice").orderBy("time", "file", "line_number")
+    ends = rows.groupBy("slice").agg(F.max("time").alias("end"))
+    ends = ends.select("slice", F.lag("end").over(Window.orderBy("slice")).alias("end"))  # over at most SLICES rows
+    near = rows.join(F.broadcast(ends), "slice").withColumn("since", F.coalesce(F.lag("time").over(inside), F.col("end")))
     opens = F.col("since").isNull() | (F.unix_micros("time") - F.unix_micros("since") > int(gap_seconds * 1e6))
     near = near.withColumn("open", F.when(opens, F.col("time")))
-    last = near.groupBy("hour").agg(F.max("open").alias("open"))
-    last = last.select("hour", F.last("open", ignorenulls=True).over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    opened = near.groupBy("slice").agg(F.max("open").alias("open"))
+    opened = opened.select("slice", F.last("open", ignorenulls=True).over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     start = F.coalesce(F.last("open", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried"))
-    grouped = near.join(last, "hour").withColumn("group_start", start).groupBy("group_start").agg(F.array_sort(F.collect_set("file")).alias("files"), F.count(F.lit(1)).alias("size"))
+    grouped = near.join(F.broadcast(opened), "slice").withColumn("group_start", start).groupBy("group_start").agg(F.array_sort(F.collect_set("file")).alias("files"), F.count(F.lit(1)).alias("size"))
     return grouped.where(F.size("files") >= 2)

@@ -65,7 +65,6 @@ JSON_LEVELS = {
     "critical": "FATAL",
     "60": "FATAL",
 }
-MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 
 def _entry(matched: Column, timestamp, level, source, message, extra: dict[str, Column] | Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.rx import java
 from emberlog.operators.formats import attempts
-from emberlog.sources.lines import running_sum
+from emberlog.sources.lines import running, running_sum
 
 MAX_LINES, MAX_BYTES = 500, 65_536
 
@@ -18,16 +18,16 @@ def records(lines: DataFrame, separator: str) -> DataFrame:
     Lines before the first match are records of their own.  After 500 lines or 65,536 bytes, tested from the second line on,
     the rest of a record is left out.
     """
-    lines = lines.withColumn("__start", F.col("text").rlike(java(separator)).cast("long"))
-    lines = running_sum(lines, F.col("__start"), "__record")
-    lines = lines.withColumn("__record", F.when(F.col("__record") == 0, -F.col("line_number")).otherwise(F.col("__record")))
-    w = Window.partitionBy("file", "__record").orderBy("line_number")
-    lines = lines.withColumns({"__k": F.row_number().over(w), "__bytes": F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    before = F.coalesce(F.lag("__bytes").over(w), F.lit(0))
-    kept = lines.withColumn("__kept", (F.col("__k") <= 2) | ((F.col("__k") - 1 < MAX_LINES) & (before < MAX_BYTES))).where("__kept")
-    full = (F.col("__k") >= 2) & ((F.col("__k") >= MAX_LINES) | (F.col("__bytes") >= MAX_BYTES))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_number", "text"))), lambda x: x["text"])
-    out = kept.groupBy("file", "__record").agg(F.min("line_number").alias("start_line"), F.count(F.lit(1)).cast("int").alias("line_count"), F.array_join(texts, "\n").alias("text"), F.max(full).alias("truncated"))
+    size = F.octet_length("text").cast("long")
+    lines = running(lines.withColumn("__start", F.col("text").rlike(java(separator))), __n=("sum", F.lit(1).cast("long")), __b=("sum", size))
+    # where a record starts, as running counts of lines and of the bytes before: a line's place in its record needs no window over it
+    lines = running(lines, __first=("max", F.when(F.col("__start"), F.col("__n"))), __from=("max", F.when(F.col("__start"), F.col("__b") - size)))
+    k, until = F.col("__n") - F.col("__first") + 1, F.col("__b") - F.col("__from")
+    alone = F.col("__first").isNull()
+    kept = lines.where(alone | (k <= 2) | ((k - 1 < MAX_LINES) & (until - size < MAX_BYTES)))
+    full = ~alone & (k >= 2) & ((k >= MAX_LINES) | (until >= MAX_BYTES))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_number", "text"))), lambda x: x["text"])  # at most 500 lines
+    out = kept.groupBy("file", F.coalesce("__first", -F.col("__n")).alias("__record")).agg(F.min("line_number").alias("start_line"), F.count(F.lit(1)).cast("int").alias("line_count"), F.array_join(texts, "\n").alias("text"), F.max(full).alias("truncated"))
     return out.drop("__record")
 
 
@@ -35,6 +35,7 @@ def combined(lines: DataFrame, format: str) -> DataFrame:
     """Entries with the lines that follow them: (file, line_number, line_count, timestamp, level, source, message, raw, stack_trace, extra_fields).
 
     A line of the format opens an entry, other lines belong to the open one; before the first they stand alone without a level.
+    An entry is one row with all its text, so the lines of one entry must fit in memory together, as any row must.
     """
     rows = running_sum(attempts(lines, format), F.col("entry").isNotNull().cast("long"), "__entry")
     rows = rows.withColumn("__entry", F.when(F.col("__entry") == 0, -F.col("line_number")).otherwise(F.col("__entry")))

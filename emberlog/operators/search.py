@@ -13,7 +13,7 @@ from emberlog.functions.rx import matches
 from emberlog.functions.text import keyword_level
 from emberlog.operators.formats import PARSERS, attempts, entries
 from emberlog.operators.records import record_entries, records
-from emberlog.sources.lines import clamp, context
+from emberlog.sources.lines import clamp, neighbours
 
 LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "CRITICAL", "FATAL")
 
@@ -29,7 +29,7 @@ def page_facts(total: int, offset: int, returned: int) -> dict:
 
 def search(lines: DataFrame, pattern: str, regex: bool = True, case_sensitive: bool = False, context_lines: int = 0) -> DataFrame:
     """All matching lines with their context; page them with ``page(.., ["file", "line_number"], offset, limit)``."""
-    return context(lines, context_lines).where(matches(F.col("text"), pattern, regex, case_sensitive))
+    return neighbours(lines, lines.where(matches(F.col("text"), pattern, regex, case_sensitive)), context_lines)
 
 
 def search_page(lines: DataFrame, pattern: str, regex: bool = True, case_sensitive: bool = False, context_lines: int = 0, offset: int = 0, limit: int = 50) -> DataFrame:

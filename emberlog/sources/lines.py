@@ -1,7 +1,9 @@
 """Line sources: text files, plain or compressed, and text columns, as (file, line_number, text).
 
-Line numbers are exact without a global sort: Spark numbers the rows of a split, and the line counts of the splits before it
-are added.  Lines end at line feeds only; one trailing carriage return is dropped.
+Line numbers are exact without a sort or a shuffle of lines: Spark numbers the rows of a split, and the line counts of the
+splits before it are added from a table with one row per split.  That table is broadcast while files and partitions, known
+before any line is read, bound it by ``MAX_SPLITS`` rows; beyond, it is joined by a shuffle.  Lines end at line feeds only; one
+trailing carriage return is dropped.
 """
 
 from __future__ import annotations
@@ -10,17 +12,23 @@ import io
 import os
 import zipfile
 from collections.abc import Iterable
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.errors import QueryError
+from emberlog.session import stored
 
 SAMPLE_LINES, SAMPLE_SIZE = 20, 10
 SNIFFED_BYTES = 8192
 #: Lines in one block, where a window over a file is cut into blocks.
 BLOCK_LINES = 100_000
+#: Rows up to which the table of splits is broadcast (at most 400 bytes each with common path lengths).
+MAX_SPLITS = 100_000
+#: Matches up to which the places of their neighbours are broadcast.
+MAX_MATCHES = 50_000
 
 
 def compression_of(path: str) -> str:
@@ -80,16 +88,37 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str], check: bool = Tr
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
+    # a split that shares a partition is the only one of its file's rest there, so splits number at most files plus partitions
+    bound = len(rows.inputFiles()) + rows.rdd.getNumPartitions()
     rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
     splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     number = F.col("id") - F.col("first") + 1 + F.col("before")
-    return rows.join(splits, ["file", "start"]).select("file", number.alias("line_number"), F.regexp_replace("value", r"\r\z", "").alias("text"))
+    splits = F.broadcast(splits) if bound <= MAX_SPLITS else splits
+    return rows.join(splits, ["file", "start"]).select("file", number.alias("line_number"), _line("value").alias("text"))
+
+
+def _line(column: str):
+    return F.regexp_replace(column, r"\r\z", "")
+
+
+def first_lines(spark: SparkSession, path: str, limit: int = SAMPLE_LINES) -> DataFrame:
+    """(file, line_number, text) of a file's first lines: only the start of its first split is read."""
+    if compression_of(path) == "zip":
+        return _zip_lines(spark, [path]).where(F.col("line_number") <= limit).limit(limit)
+    rows = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    few = rows.where(F.col("start") == 0).limit(limit)
+    number = F.row_number().over(Window.partitionBy("file").orderBy("id"))  # over at most ``limit`` rows
+    return few.select("file", number.cast("long").alias("line_number"), _line("value").alias("text"))
 
 
 def _zip_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of zip entries; an entry is read as a stream, in batches."""
+    return zip_lines(spark.read.format("binaryFile").load(paths).select("path", "content"))
+
+
+def zip_lines(files: DataFrame) -> DataFrame:
+    """Lines of the first entry of each zip of ``files`` (path, content); an entry is read as a stream, in batches."""
 
     def lines(batches):
         for batch in batches:
@@ -108,8 +137,18 @@ def _zip_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     def _batch(path, done, rows):
         return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(done + 1, done + 1 + len(rows)), pa.int64()), pa.array(rows, pa.string())], ["file", "line_number", "text"])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(lines, "file string, line_number long, text string")
+    return files.select("path", "content").mapInArrow(lines, "file string, line_number long, text string")
+
+
+def compression_name(path):
+    """gzip, bzip2, zip or none, of a path column."""
+    ending = F.regexp_extract(F.lower(path), r"\.(gz|bz2|zip)\z", 1)
+    return F.when(ending == "gz", "gzip").when(ending == "bz2", "bzip2").when(ending == "zip", "zip").otherwise("none")
+
+
+def looks_binary(content):
+    """Whether the first bytes of a binary column have a zero byte."""
+    return F.coalesce(F.position(F.lit(b"\0").cast("binary"), F.substring(content, 1, SNIFFED_BYTES)) > 0, F.lit(False))
 
 
 def column_lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -131,25 +170,37 @@ def read_range(lines: DataFrame, start: int = 1, limit: int = 100) -> DataFrame:
 
 
 def tail(lines: DataFrame, limit: int = 50) -> DataFrame:
-    """The last lines (50 by default, 1,000 at most) in order, with exact numbers."""
-    return lines.orderBy(F.desc("line_number")).limit(clamp(limit, 50, 1000)).orderBy("line_number")
+    """The last lines (50 by default, 1,000 at most) in order, with exact numbers; of several files those of the last."""
+    return lines.orderBy(F.desc("file"), F.desc("line_number")).limit(clamp(limit, 50, 1000)).orderBy("file", "line_number")
 
 
 def clamp(value: int | None, default: int, most: int, least: int = 1) -> int:
     return min(max(value or default, least), most)
 
 
-def running_sum(rows: DataFrame, value: F.Column, name: str) -> DataFrame:
-    """Add the running sum of ``value`` over a file's lines up to each line.
+def running(rows: DataFrame, **values) -> DataFrame:
+    """Add, per name, a running (sum, column) or (max, column) over a file's lines up to each line.
 
-    The file is cut into blocks of lines; block sums give each block's start, so no task needs a whole file.
+    The file is cut into blocks of lines; the blocks' own values give each block's start, so no task needs a whole file.
     """
-    rows = rows.withColumns({"__block": F.floor(F.col("line_number") / BLOCK_LINES), "__value": value})
-    blocks = rows.groupBy("file", "__block").agg(F.sum("__value").alias("__sum"))
+    how = {"sum": F.sum, "max": F.max}
+    rows = rows.withColumns({"__block": F.floor(F.col("line_number") / BLOCK_LINES)} | {f"__v_{n}": c for n, (_, c) in values.items()})
+    blocks = rows.groupBy("file", "__block").agg(*(how[k](f"__v_{n}").alias(f"__a_{n}") for n, (k, _) in values.items()))
     before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    blocks = blocks.select("file", "__block", *(how[k](f"__a_{n}").over(before).alias(f"__b_{n}") for n, (k, _) in values.items()))
     inside = Window.partitionBy("file", "__block").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(blocks, ["file", "__block"]).withColumn(name, F.col("__before") + F.sum("__value").over(inside)).drop("__block", "__value", "__before")
+    out = rows.join(blocks, ["file", "__block"])
+
+    def total(n: str, k: str):
+        here = how[k](f"__v_{n}").over(inside)
+        return F.coalesce(F.col(f"__b_{n}"), F.lit(0)) + F.coalesce(here, F.lit(0)) if k == "sum" else F.greatest(F.col(f"__b_{n}"), here)
+
+    return out.withColumns({n: total(n, k) for n, (k, _) in values.items()}).drop("__block", *(f"__{x}_{n}" for n in values for x in "vb"))
+
+
+def running_sum(rows: DataFrame, value: F.Column, name: str) -> DataFrame:
+    """Add the running sum of ``value`` over a file's lines up to each line."""
+    return running(rows, **{name: ("sum", value)})
 
 
 def context(lines: DataFrame, n: int) -> DataFrame:
@@ -169,7 +220,38 @@ def context(lines: DataFrame, n: int) -> DataFrame:
     return out.where(F.col("__own") == F.col("__block")).drop("__own", "__block")
 
 
+def neighbours(lines: DataFrame, hits: DataFrame, n: int) -> DataFrame:
+    """``hits`` (file, line_number, text), some of ``lines``, with ``before_context`` and ``after_context``.
+
+    Lines are read once more for the places around the hits, which are broadcast while few; only those lines are shuffled.
+    """
+    n = min(max(n, 0), 10)
+    none = F.array().cast("array<string>")
+    hits = hits.select("file", "line_number", "text")
+    if not n:
+        return hits.withColumns({"before_context": none, "after_context": none})
+    hits = stored(hits)
+    wanted = hits.select("file", F.col("line_number").alias("hit"), F.explode(F.sequence(F.col("line_number") - n, F.col("line_number") + n)).alias("line_number"))
+    wanted = F.broadcast(wanted) if hits.count() <= MAX_MATCHES else wanted
+    near = lines.select("file", "line_number", "text").join(wanted, ["file", "line_number"])
+    around = near.groupBy("file", F.col("hit").alias("line_number")).agg(F.array_sort(F.collect_list(F.struct(F.col("line_number").alias("at"), "text"))).alias("rows"))
+
+    def texts(test):
+        return F.transform(F.filter("rows", test), lambda r: r["text"])
+
+    at = F.col("line_number")
+    own = F.filter("rows", lambda r: r["at"] == at)[0]["text"]
+    return around.select("file", "line_number", own.alias("text"), texts(lambda r: r["at"] < at).alias("before_context"), texts(lambda r: r["at"] > at).alias("after_context"))
+
+
 def preview(spark: SparkSession, path: str, limit: int = 100) -> str:
-    """A header and the first lines of a file, as text; at most ``limit`` lines come to the driver."""
-    rows = read_lines(spark, path).where(F.col("line_number") <= limit).orderBy("line_number").limit(limit).collect()
-    return "\n".join([f"# {path} (first {len(rows)} lines)", *(r["text"] for r in rows)])
+    """A header (name, path, size, change, lines shown, whether there are more) and the first lines of a local file, as text."""
+    check_access(path)
+    info = os.stat(path)
+    rows = [r["text"] for r in first_lines(spark, path, limit + 1).orderBy("line_number").collect()]
+    changed = datetime.fromtimestamp(int(info.st_mtime), UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    # fixed values: the words of the header
+    header = [f"# File: {os.path.basename(path)}", f"# Path: {path}", f"# Size: {info.st_size} bytes", f"# Modified: {changed}", f"# Showing: first {min(len(rows), limit)} lines"]
+    if len(rows) > limit:
+        header.append("# Note: file has more lines beyond this preview")
+    return "\n".join([*header, "#", *rows[:limit]]) + "\n"

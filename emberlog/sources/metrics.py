@@ -21,9 +21,10 @@ SCHEMA = "ts TIMESTAMP, tool STRING, status STRING, duration_ms BIGINT, response
 GROUPS = ("tool", "status", "warning")
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events of ``events-*.jsonl`` files; lines that are no events are left out."""
-    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(f"{folder.rstrip('/')}/events-*.jsonl").where("ts IS NOT NULL")
+def read_events(spark: SparkSession, folder: str, since: timedelta | None = None, now: datetime | None = None) -> DataFrame:
+    """Events of ``events-*.jsonl`` files, those before ``now - since`` left out as they are read; lines that are no events are left out."""
+    rows = spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(f"{folder.rstrip('/')}/events-*.jsonl").where("ts IS NOT NULL")
+    return rows if since is None else rows.where(F.col("ts") >= F.lit((now or datetime.now(UTC)) - since))
 
 
 def write_events(events: DataFrame, folder: str) -> None:
@@ -71,13 +72,16 @@ def parse_since(text: str = "24h") -> timedelta:
     return timedelta(seconds=sum(float(a) * unit[b] for a, b in parts))
 
 
-def nearest_rank(value: Column, percent: int) -> Column:
-    """The exact percentile by nearest rank: the value at position ceil(percent / 100 * n)."""
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value._jc.toString()})").cast("long")
+def nearest_rank(name: str, percent: int) -> Column:
+    """The exact percentile of a column by nearest rank: the value at position ceil(percent / 100 * n)."""
+    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY `{name}`)").cast("long")
 
 
 def aggregate(events: DataFrame, by: str = "tool", since: timedelta | None = None, now: datetime | None = None, tool: str | None = None, top_k: int = 10) -> DataFrame:
-    """(key, calls, errors, error_rate, p50_ms, p95_ms, avg_bytes) by tool, status or warning, most calls first."""
+    """(key, calls, errors, error_rate, p50_ms, p95_ms, avg_bytes, warnings) by tool, status or warning, most calls first.
+
+    ``warnings`` maps each warning of the group to its calls; null where there is none.
+    """
     if by not in GROUPS:
         raise QueryError("INVALID_INPUT", f"cannot group by {by!r}")
     if since is not None:
@@ -86,12 +90,17 @@ def aggregate(events: DataFrame, by: str = "tool", since: timedelta | None = Non
         events = events.where(F.col("tool") == tool)
     calls, errors = F.count(F.lit(1)), F.count_if(F.col("status") == "error")
     key = F.coalesce(F.col(by), F.lit("<none>")) if by == "warning" else F.col(by)
-    out = events.groupBy(key.alias("key")).agg(
+    keyed = events.withColumn("__key", key)
+    counted = keyed.where(F.col("warning") != "").groupBy("__key", "warning").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("warning", "n"))))
+    warnings = counted.groupBy(F.col("__key").alias("key")).agg(pairs.alias("warnings"))
+    out = keyed.groupBy(F.col("__key").alias("key")).agg(
         calls.alias("calls"),
         errors.alias("errors"),
         round_half_up(errors / calls, 3).alias("error_rate"),
-        nearest_rank(F.col("duration_ms"), 50).alias("p50_ms"),
-        nearest_rank(F.col("duration_ms"), 95).alias("p95_ms"),
+        nearest_rank("duration_ms", 50).alias("p50_ms"),
+        nearest_rank("duration_ms", 95).alias("p95_ms"),
         F.expr("sum(CAST(response_bytes AS BIGINT)) div count(1)").alias("avg_bytes"),
     )
-    return out.orderBy(F.desc("calls"), "key").limit(clamp(top_k, 10, 1000))
+    shown = out.orderBy(F.desc("calls"), "key").limit(clamp(top_k, 10, 1000))
+    return shown.join(warnings, shown["key"].eqNullSafe(warnings["key"]), "left").drop(warnings["key"]).orderBy(F.desc("calls"), "key")

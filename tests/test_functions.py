@@ -96,7 +96,7 @@ def test_windows_count_from_year_one(spark, minutes):
 def test_nearest_rank(spark, n):
     rows = spark.range(1, n + 1).select((F.col("id") * 10).alias("v"))
     for p in (50, 95):
-        assert rows.agg(metrics.nearest_rank(F.col("v"), p)).first()[0] == 10 * -(-p * n // 100)
+        assert rows.agg(metrics.nearest_rank("v", p)).first()[0] == 10 * -(-p * n // 100)
 
 
 def test_durations():

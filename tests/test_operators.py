@@ -187,15 +187,38 @@ def test_anomalies(spark):
     kinds = {r.type for r in found}
     assert {"error_spike", "gap", "new_error_type"} <= kinds
     spike = next(r for r in found if r.type == "error_spike")
-    assert spike.start == "2025-01-01T00:40:00Z" and spike.value == 30 and spike.evidence == [41, 42, 43, 44, 45]
+    assert spike.start == "2025-01-01T00:40:00Z" and spike.end == "2025-01-01T00:45:00Z" and spike.value == 30
+    assert [e.line_number for e in spike.evidence] == [41, 42, 43, 44, 45] and spike.evidence[0].content == texts[40]
+    assert spike.description.startswith("Error rate increased ") and set(spike.details) == {"baseline_error_rate", "spike_error_rate", "multiplier"}
+    gap = next(r for r in found if r.type == "gap")
+    assert (gap.start, gap.end, gap.evidence) == ("2025-01-01T00:40:29Z", "2025-01-01T02:30:00Z", [])
     assert [r.value for r in found if r.type == "gap"] == [float(9000 - 2429)]
-    assert [r.description for r in found if r.type == "new_error_type"] == ["new error pattern: brand new <N>"]
+    assert [(r.details["pattern"], r.details["occurrences"], r.evidence[0].line_number) for r in found if r.type == "new_error_type"] == [("brand new <N>", "1", 76)]
     calm = formats.entries(frame(spark, [at(60 * k) for k in range(50)]), "json")
     assert anomalies.detect_anomalies(calm).count() == 0
     ranks = [anomalies.RANKS[r.severity] for r in anomalies.anomaly_page(anomalies.detect_anomalies(parsed)).collect()]
     assert ranks == sorted(ranks)
 
 
+def test_windows_keep_their_offset(spark):
+    texts = [j(f"2025-01-01T00:{k:02d}:00{z}", "error" if k < 5 else "info", "x 1") for k in range(50) for z in ("+02:00", "Z", "", "+00:00")]
+    windows = anomalies.window_counts(anomalies.timed(formats.entries(frame(spark, texts), "json")), 5)
+    found = anomalies.error_spikes(windows).orderBy("start").collect()
+    assert [(r.start, r.end) for r in found] == [("2025-01-01T00:00:00+02:00", "2025-01-01T00:05:00+02:00"), ("2025-01-01T00:00:00Z", "2025-01-01T00:05:00Z")]
+    assert [r.value for r in found] == [5, 15]
+
+
+def test_errors_of_many_files(spark):
+    """First and last go by file and then line; timestamps that are missing do not end the error rate's span."""
+    a = frame(spark, [j(None, "error", "x 1"), j("2025-01-01T00:00:00Z", "error", "x 2"), j("2025-01-01T02:00:00Z", "error", "x 3"), j(None, "error", "x 4")], "a")
+    b = frame(spark, [j(None, "error", "x 5")], "b")
+    found = errors.error_entries(a.union(b), "json")
+    rate = errors.error_rate(found, 10).first()
+    assert (rate.total_errors, rate.per_hour) == (5, 2.5)
+    one = errors.clusters(found).first()
+    assert (one.first_line, one.last_line, one.samples, one["count"]) == (1, 1, ["x 1", "x 2", "x 3"], 5)
+
+
 def test_gaps_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(anomalies, "BLOCK_LINES", 3)
     times = [0, 5, 4, 9, 20, 21, 50, 50]

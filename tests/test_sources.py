@@ -120,4 +120,35 @@ def test_discovery_and_rotations(spark):
 
 def test_preview(spark, log):
     path = log("a\nb\nc\n")
-    assert lines.preview(spark, path, 2) == f"# {path} (first 2 lines)\na\nb"
+    text = lines.preview(spark, path, 2).split("\n")
+    assert text[0] == "# File: app.log" and text[1] == f"# Path: {path}" and text[2] == "# Size: 6 bytes" and text[3].endswith("Z")
+    assert text[4:] == ["# Showing: first 2 lines", "# Note: file has more lines beyond this preview", "#", "a", "b", ""]
+    assert lines.preview(spark, path).split("\n")[4:] == ["# Showing: first 3 lines", "#", "a", "b", "c", ""]
+
+
+def test_line_numbers_of_a_large_file_shuffle_no_lines(spark, tmp_path):
+    """Above the broadcast limit of the optimizer too, and detection stops after the first lines."""
+    path = tmp_path / "big.log"
+    path.write_text("".join(f"{k} {'x' * 190}\n" for k in range(100_000)))
+    found = lines.read_lines(spark, str(path))
+    plan = found.where(F.col("text").contains("99999 ")).select("text", "line_number")._jdf.queryExecution().executedPlan().toString()
+    assert path.stat().st_size > 10 << 20 and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert [r.line_number for r in found.where(F.col("text").startswith("99999 ")).collect()] == [100_000]
+    head = lines.first_lines(spark, str(path))
+    assert rows(head) == [(k + 1, f"{k} {'x' * 190}") for k in range(20)]
+
+
+def test_neighbours_equal_context(spark, monkeypatch):
+    text = [f"t{k % 7}" for k in range(60)]
+    frame = spark.createDataFrame([(f, k, t + f) for f in "ab" for k, t in enumerate(text, 1)], "file string, line_number long, text string")
+    hit = F.col("text").startswith("t3")
+    for most in (lines.MAX_MATCHES, 1):
+        monkeypatch.setattr(lines, "MAX_MATCHES", most)
+        got = lines.neighbours(frame, frame.where(hit), 3)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, lines.context(frame, 3).where(hit).select(*got.columns).collect()), key=str)
+
+
+def test_deep_rotations(spark):
+    paths = ["a.log", "a.log.1.2.3.4.5.6.7.gz", "a.log.1.2", "b.1.2.3", "c.gz", "c.gz.1.bz2"]
+    groups = {r.path: r.variants for r in files.rotation_groups(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert groups == {"a.log": ["a.log.1.2"], "b.1.2.3": [], "c.gz": ["c.gz.1.bz2"]} or groups == {"a.log": ["a.log.1.2"], "b.1.2.3": [], "c.gz": ["c.gz.1.bz2"], "a.log.1.2": ["a.log.1.2.3.4.5.6.7.gz"]}
