@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
+import os
+import posixpath
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Callable
+from datetime import UTC, datetime
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import event_type, human_size, normalize_message
+from emberlog.errors import QueryError
+from emberlog.functions.text import event_type, glob_pattern, human_size, normalize_message
 from emberlog.operators import anomalies, correlate, diff, errors, formats, search, summary, timeline
 from emberlog.operators.records import combined
 from emberlog.plans import render
+from emberlog.session import shared_folder
 from emberlog.sources import lines as line_source
-from emberlog.sources.files import discovery_lines, rotation_groups
+from emberlog.sources import metrics
+from emberlog.sources.files import archive_entries, decompress, discovery_lines, file_info, rotation_groups
 from emberlog.sources.metrics import aggregate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +159,120 @@ def detect_format(spark, sf_dir):
     return formats.detect(logs).select("file", "format", "confidence", "sample_size")
 
 
+@query("format_hint", "SELECT * FROM (VALUES ('json', 'json'), ('auto', 'syslog-rfc5424'), ('nonsense', 'syslog-rfc5424')) AS v(hint, format)")
+def format_hint(spark, sf_dir):
+    lines = render.lines(spark, sf_dir, "syslog-rfc5424")
+    return spark.createDataFrame([(h, formats.detect_one(lines, h)) for h in ("json", "auto", "nonsense")], "hint string, format string")
+
+
+# Files
+
+
+@query("file_long_lines", "SELECT event_id + 1 AS line_number, 1500000 + event_id AS chars FROM events WHERE event_id < 3")
+def file_long_lines(spark, sf_dir):
+    folder = posixpath.join(shared_folder(spark), f"long-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "events").where("event_id < 3").select("event_id", F.expr("repeat('x', CAST(1500000 + event_id AS INT))").alias("text"))
+    rows.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").select("text").write.text(folder)
+    return line_source.read_lines(spark, folder, check=False).select("line_number", F.length("text").cast("long").alias("chars"))
+
+
+@query("file_line_ends", f"SELECT count(*) AS lines, CAST(0 AS BIGINT) AS returns, CAST(sum(length({render.JSON})) AS BIGINT) AS chars FROM e", True)
+def file_line_ends(spark, sf_dir):
+    """Lines that end with a carriage return and a line feed lose both."""
+    found = line_source.read_lines(spark, render.stored_log(spark, sf_dir, line_end="\r\n"), check=False)
+    return found.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("text").contains("\r")).alias("returns"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("file_tail_gzip", "SELECT t AS timestamp, message FROM e ORDER BY line_number DESC LIMIT 50", True)
+def file_tail_gzip(spark, sf_dir):
+    stored = line_source.read_lines(spark, render.stored_log(spark, sf_dir, "gzip"), check=False)
+    return formats.entries(line_source.tail(stored, 50), "json").select("timestamp", "message")
+
+
+@query("file_compression", "SELECT p_partkey, ['gzip', 'bzip2', 'zip', 'none', 'none'][1 + CAST(p_partkey % 5 AS INT)] AS compression FROM part")
+def file_compression(spark, sf_dir):
+    ending = F.get(F.array(*map(F.lit, (".log.GZ", ".bz2", ".Zip", ".gz.log", ""))), (F.col("p_partkey") % 5).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", line_source.compression_name(F.concat(F.lit("/a/part"), ending)).alias("compression"))
+
+
+@query("file_binary", "SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 < 2 AS is_binary FROM documents")
+def file_binary(spark, sf_dir):
+    """A zero byte within the first 8,192 bytes (here at 1, 8,001 or 16,001) tells a binary file."""
+    content = F.expr("concat(CAST(repeat('a', CAST(doc_id % 3 * 8000 AS INT)) AS BINARY), CASE WHEN doc_id % 2 = 0 THEN X'00' ELSE X'62' END)")
+    return table(spark, sf_dir, "documents").select("doc_id", line_source.looks_binary(content).alias("is_binary"))
+
+
+@query("file_access", "SELECT * FROM (VALUES ('missing', 'FILE_NOT_FOUND'), ('folder', 'FILE_NOT_FOUND'), ('zeros', 'BINARY_FILE'), ('text', '')) AS v(file, code)")
+def file_access(spark, sf_dir):
+    """The driver's checks of local paths."""
+    folder = tempfile.mkdtemp(prefix="emberlog-access-")
+    os.mkdir(f"{folder}/folder")
+    Path(folder, "zeros").write_bytes(b"a\0b")
+    Path(folder, "text").write_bytes(b"plain\n")
+    found = []
+    for name in ("missing", "folder", "zeros", "text"):
+        try:
+            line_source.check_access(f"{folder}/{name}")
+            found.append((name, ""))
+        except QueryError as e:
+            found.append((name, e.code))
+    return spark.createDataFrame(found, "file string, code string")
+
+
+@query("file_info", "SELECT count(*) AS line_count, arg_min(t, line_number) AS first_timestamp, arg_max(t, line_number) AS last_timestamp, 'json' AS format, 'none' AS compression, false AS is_binary FROM e", True)
+def file_info_query(spark, sf_dir):
+    found = file_info(spark, _one_file(spark, render.stored_log(spark, sf_dir, files=1)))
+    return found.select("line_count", "first_timestamp", "last_timestamp", "format", "compression", "is_binary")
+
+
+@query("file_decompress", "SELECT 'gzip' AS compression, count(*) AS line_count FROM events")
+def file_decompress(spark, sf_dir):
+    return decompress(spark, _one_file(spark, render.stored_log(spark, sf_dir, "gzip", files=1))).select("compression", "line_count")
+
+
+@query("file_preview", f"SELECT line_number - 1 AS position, {render.JSON} AS text FROM e WHERE line_number <= 100 UNION ALL SELECT * FROM (VALUES (-3::BIGINT, '# Showing: first 100 lines'), (-2::BIGINT, '# Note: file has more lines beyond this preview'), (-1::BIGINT, '#')) AS v(position, text)", True)
+def file_preview(spark, sf_dir):
+    """The preview from its fifth line on; before come name, path, size and change."""
+    text = line_source.preview(spark, _one_file(spark, render.stored_log(spark, sf_dir, files=1)))
+    return spark.createDataFrame([(k - 3, x) for k, x in enumerate(text.removesuffix("\n").split("\n")[4:])], "position long, text string")
+
+
+def _one_file(spark, folder: str) -> str:
+    """The local path of a folder's only file."""
+    return unquote(urlparse(spark.read.text(folder).inputFiles()[0]).path)
+
+
+def _archive(spark, sf_dir) -> DataFrame:
+    """One zip with a log per nation."""
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for r in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect():  # 25 rows
+            for ending in ("log", "txt"):
+                archive.writestr(f"n/nation{r[0]}.{ending}", "".join(f"line {k}\n" for k in range(r[0] + 1)))
+    return spark.createDataFrame([("nations.zip", data.getvalue())], "path string, content binary")
+
+
+@query("archive_listing", "SELECT concat('n/nation', n_nationkey, '.log') AS name, CAST((SELECT sum(length(concat('line ', k)) + 1) FROM range(n_nationkey + 1) AS t(k)) AS BIGINT) AS size, false AS is_dir, (SELECT count(*) FROM nation) AS total FROM nation ORDER BY n_nationkey LIMIT 10")
+def archive_listing(spark, sf_dir):
+    return archive_entries(_archive(spark, sf_dir), "nation*.l?g", 10).select("name", "size", "is_dir", "total")
+
+
+@query("zip_first_entry", "SELECT 1::BIGINT AS line_number, 'line 0' AS text")
+def zip_first_entry(spark, sf_dir):
+    return line_source.zip_lines(_archive(spark, sf_dir)).select("line_number", "text")
+
+
+@query("path_globs", r"SELECT p_partkey, regexp_matches(concat('dir/file', p_partkey, '.log'), '^dir/file[0-4][^/]\.l[^/]*$') AS matched FROM part")
+def path_globs(spark, sf_dir):
+    path = F.concat(F.lit("dir/file"), F.col("p_partkey").cast("string"), F.lit(".log"))
+    return table(spark, sf_dir, "part").select("p_partkey", path.rlike(glob_pattern("dir/file[0-4]?.l*")).alias("matched"))
+
+
+@query("page_limits", "SELECT * FROM (VALUES (0::BIGINT, 50::BIGINT), (-5, 1), (7, 7), (5000, 1000)) AS v(asked, used)")
+def page_limits(spark, sf_dir):
+    return spark.createDataFrame([(n, line_source.clamp(n, 50, 1000)) for n in (0, -5, 7, 5000)], "asked long, used long")
+
+
 # Searching and filtering
 
 
@@ -164,6 +292,12 @@ def log_search_page2(spark, sf_dir):
     return formats.entries(found, "json").select("line_number", "message")
 
 
+@query("log_search_beyond", "SELECT line_number, text FROM (SELECT line_number, message AS text FROM e) WHERE false", True)
+def log_search_beyond(spark, sf_dir):
+    """A page after the last match is empty."""
+    return search.search_page(render.lines(spark, sf_dir), "timeout", regex=False, offset=10_000_000).select("line_number", "text")
+
+
 @query(
     "log_search_context",
     f"""WITH {DOCUMENT_LINES}, x AS (
@@ -296,6 +430,22 @@ def error_rate(spark, sf_dir):
     return found.select("total_errors", F.round("percent", 6).alias("percent"), F.round("per_hour", 6).alias("per_hour"))
 
 
+NO_STAMP = "line_number % 3 = 0 OR line_number < 50"
+
+
+@query(
+    "error_rate_untimed",
+    f"""SELECT count(*) AS total_errors, round(count(*) / ((epoch_us(arg_max(ts, line_number) FILTER (NOT ({NO_STAMP}))) - epoch_us(arg_min(ts, line_number) FILTER (NOT ({NO_STAMP})))) / 3600000000.0::DOUBLE), 6) AS per_hour FROM e WHERE {IS_ERROR}""",
+    True,
+)
+def error_rate_untimed(spark, sf_dir):
+    """Errors without a timestamp count, but the time span is that of the others."""
+    bare = F.when(F.expr(NO_STAMP), F.regexp_replace("text", '^."timestamp":"[^"]*",', "{")).otherwise(F.col("text"))
+    lines = render.lines(spark, sf_dir).withColumn("text", bare)
+    found = errors.error_rate(errors.error_entries(lines, "json"), lines.count())
+    return found.select("total_errors", F.round("per_hour", 6).alias("per_hour"))
+
+
 # Records and stack traces
 
 STACKED = f"""x AS (SELECT *, (line_number - 1) * 3 + 1 AS start_line, CASE WHEN level = 'ERROR' THEN 3 ELSE 1 END AS line_count,
@@ -365,7 +515,7 @@ def event_types(spark, sf_dir):
 WINDOWS = f"""w AS (SELECT s - (s + 62135596800) % 300 AS start, count(*) AS total, count(*) FILTER ({IS_ERROR}) AS errors
   FROM (SELECT *, epoch_us(ts) // 1000000 AS s FROM e) GROUP BY 1)"""
 STAMP = "strftime(make_timestamp(start * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
-GAPS = "g AS (SELECT line_number, (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY line_number)) / 1000000.0::DOUBLE AS seconds, lag(t) OVER (ORDER BY line_number) AS since FROM e)"
+GAPS = "g AS (SELECT line_number, (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY line_number)) / 1000000.0::DOUBLE AS seconds, strftime(lag(ts) OVER (ORDER BY line_number), '%Y-%m-%dT%H:%M:%SZ') AS since FROM e)"
 SPIKES = f"SELECT 'error_spike' AS type, 'high' AS severity, {STAMP} AS start, errors::DOUBLE AS value FROM w WHERE errors > (SELECT avg(errors) FROM w) * 3"
 RATES = f"SELECT 'rate_change' AS type, 'medium' AS severity, {STAMP} AS start, total::DOUBLE AS value FROM w WHERE total > (SELECT avg(total) FROM w) * {{}}"
 LONG = "SELECT 'gap' AS type, 'high' AS severity, since AS start, seconds AS value FROM g WHERE seconds >= 0 AND seconds > (SELECT avg(seconds) FROM g WHERE seconds >= 0) * 5"
@@ -407,6 +557,22 @@ def anomalies_all(spark, sf_dir):
     return _anomalies(anomalies.detect_anomalies(parsed(spark, sf_dir)))
 
 
+SPIKE_TEXT = "concat('Error rate increased ', printf('%.1f', value / (SELECT avg(errors) FROM w)), 'x compared to baseline in 5-minute window')"
+RATE_TEXT = "concat('Log volume increased ', printf('%.1f', value / (SELECT avg(total) FROM w)), 'x compared to average in 5-minute window')"
+GAP_TEXT = "concat('No log entries for ', printf('%.0f', value), ' seconds (expected interval: ~', printf('%.1f', (SELECT avg(seconds) FROM g WHERE seconds >= 0)), ' seconds)')"
+
+
+@query(
+    "anomalies_page",
+    f"""WITH {render.cte()}, {WINDOWS}, {GAPS}, a AS (SELECT *, {SPIKE_TEXT} AS description FROM ({SPIKES}) UNION ALL SELECT *, {RATE_TEXT} FROM ({RATES.format(3)})
+  UNION ALL SELECT *, {GAP_TEXT} FROM ({LONG}) UNION ALL SELECT *, 'New error pattern appeared that was not seen in the first 80% of the file' FROM ({NEW}))
+SELECT type, severity, start, description FROM a ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, start, type, description LIMIT 60 OFFSET 10""",
+)
+def anomalies_page(spark, sf_dir):
+    found = anomalies.anomaly_page(anomalies.detect_anomalies(parsed(spark, sf_dir)), 10, 60)
+    return found.select("type", "severity", "start", "description")
+
+
 # Differences
 
 MIDDLE = "2024-01-16T00:00:00Z"
@@ -429,6 +595,19 @@ def diff_errors(spark, sf_dir):
     return diff.error_diff(_sides(spark, sf_dir))
 
 
+PAIR = "concat('fault ', chr(CAST(97 + user_id % 26 AS INT)), chr(CAST(97 + floor(user_id / 26) % 26 AS INT)))"
+
+
+@query(
+    "diff_errors_ordered",
+    f"""WITH {render.cte()}, {SIDES}, k AS (SELECT {PAIR} AS pattern, count(*) FILTER (side = 'base') AS base_count, count(*) FILTER (side = 'target') AS target_count FROM x GROUP BY 1)
+SELECT 'changed' AS class, pattern, base_count, target_count, target_count - base_count AS change FROM k WHERE base_count > 0 AND target_count > 0 ORDER BY abs(target_count - base_count) DESC, pattern LIMIT 50""",
+)
+def diff_errors_ordered(spark, sf_dir):
+    rows = render.columns(spark, sf_dir).select(F.col("t").alias("timestamp"), F.lit("ERROR").alias("level"), F.expr(PAIR).alias("message"))
+    return diff.ordered_errors(diff.error_diff(diff.two_periods(rows, (None, MIDDLE), (MIDDLE, None))), "changed")
+
+
 @query("diff_sources", _both("source", "source", "source <> ''"))
 def diff_sources(spark, sf_dir):
     return diff.source_diff(_sides(spark, sf_dir))
@@ -499,24 +678,55 @@ def correlate_time_window(spark, sf_dir):
 # Metrics
 
 CALLS = """m AS (SELECT event_type AS tool, CASE WHEN event_id % 7 = 0 THEN 'error' ELSE 'ok' END AS status, CAST(floor(value) AS BIGINT) AS duration_ms,
-  CAST(event_id * 7919 % 100000 AS INT) AS response_bytes, CASE WHEN event_id * 7919 % 100000 > 51200 THEN 'LARGE_RESPONSE' END AS warning FROM events)"""
+  CAST(event_id * 7919 % 100000 AS INT) AS response_bytes, CASE WHEN event_id % 11 = 0 THEN 'SLOW_CALL' WHEN event_id * 7919 % 100000 > 51200 THEN 'LARGE_RESPONSE' END AS warning, ts FROM events)"""
+METRICS = """count(*) AS calls, count(*) FILTER (status = 'error') AS errors, floor(count(*) FILTER (status = 'error') / count(*)::DOUBLE * 1000 + 0.5) / 1000 AS error_rate,
+  CAST(quantile_disc(duration_ms, 0.5) AS BIGINT) AS p50_ms, CAST(quantile_disc(duration_ms, 0.95) AS BIGINT) AS p95_ms, CAST(sum(response_bytes) // count(*) AS BIGINT) AS avg_bytes,
+  concat_ws(',', CASE WHEN count(*) FILTER (warning = 'LARGE_RESPONSE') > 0 THEN 'LARGE_RESPONSE=' || count(*) FILTER (warning = 'LARGE_RESPONSE') END, CASE WHEN count(*) FILTER (warning = 'SLOW_CALL') > 0 THEN 'SLOW_CALL=' || count(*) FILTER (warning = 'SLOW_CALL') END) AS warnings"""
 
 
-def _metrics(by: str, key: str):
-    sql = f"""WITH {CALLS} SELECT {key} AS key, count(*) AS calls, count(*) FILTER (status = 'error') AS errors, floor(count(*) FILTER (status = 'error') / count(*)::DOUBLE * 1000 + 0.5) / 1000 AS error_rate,
-  CAST(quantile_disc(duration_ms, 0.5) AS BIGINT) AS p50_ms, CAST(quantile_disc(duration_ms, 0.95) AS BIGINT) AS p95_ms, CAST(sum(response_bytes) // count(*) AS BIGINT) AS avg_bytes FROM m GROUP BY 1 ORDER BY calls DESC, key LIMIT 10"""
+def _calls(spark, sf_dir) -> DataFrame:
+    table(spark, sf_dir, "events").createOrReplaceTempView("__metrics_events")
+    return spark.sql(f"WITH {CALLS.replace('FROM events', 'FROM __metrics_events')} SELECT * FROM m")
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    pairs = F.transform(F.map_entries("warnings"), lambda p: F.concat(p["key"], F.lit("="), p["value"].cast("string")))
+    return found.withColumn("warnings", F.coalesce(F.array_join(F.array_sort(pairs), ","), F.lit("")))
+
 
-    @query(f"tool_metrics_by_{by}", sql)
+def _metrics(by: str, key: str):
+    @query(f"tool_metrics_by_{by}", f"WITH {CALLS} SELECT {key} AS key, {METRICS} FROM m GROUP BY 1 ORDER BY calls DESC, key LIMIT 10")
     def run(spark, sf_dir):
-        table(spark, sf_dir, "events").createOrReplaceTempView("__metrics_events")
-        rows = spark.sql(f"WITH {CALLS.replace('FROM events', 'FROM __metrics_events')} SELECT * FROM m")
-        return aggregate(rows, by)
+        return _shown(aggregate(_calls(spark, sf_dir), by))
 
 
 for _by, _key in (("tool", "tool"), ("status", "status"), ("warning", "coalesce(warning, '<none>')")):
     _metrics(_by, _key)
 
 
+@query("metrics_stored", f"WITH {CALLS} SELECT status AS key, {METRICS} FROM m WHERE ts >= TIMESTAMP '2024-01-15' AND tool = 'click' GROUP BY 1 ORDER BY calls DESC, key LIMIT 10")
+def metrics_stored(spark, sf_dir):
+    """Events written and read again, of one tool and since a time."""
+    folder = posixpath.join(shared_folder(spark), f"metrics-{uuid.uuid4().hex}")
+    rows = _calls(spark, sf_dir).withColumns({"ts": F.col("ts").cast("timestamp"), "error_code": F.lit(None).cast("string"), "file_bytes": F.lit(0).cast("long")})
+    metrics.write_events(rows, folder)
+    return _shown(aggregate(metrics.read_events(spark, folder, metrics.parse_since("10d"), datetime(2024, 1, 25, tzinfo=UTC)), "status", tool="click"))
+
+
+@query("metrics_captured", "SELECT * FROM (VALUES ('bad', 'error', 2::BIGINT, 'FILE_NOT_FOUND', 0::BIGINT), ('good', 'ok', 3::BIGINT, '', 15::BIGINT)) AS v(tool, status, calls, error_code, response_bytes)")
+def metrics_captured(spark, sf_dir):
+    """Calls that write an event each; the folder is one the driver can write to."""
+    folder = tempfile.mkdtemp(prefix="emberlog-metrics-")
+    good = metrics.captured(folder, "good")(lambda: "12345")
+    bad = metrics.captured(folder, "bad")(lambda: line_source.check_access(f"{folder}/none"))
+    for call in (good, good, good, bad, bad):
+        with contextlib.suppress(QueryError):
+            call()
+    rows = [json.loads(line) for name in sorted(os.listdir(folder)) for line in Path(folder, name).read_text().splitlines()]
+    found = spark.createDataFrame([(r["tool"], r["status"], r.get("error_code", ""), r["response_bytes"]) for r in rows], "tool string, status string, error_code string, response_bytes long")
+    return found.groupBy("tool", "status", "error_code").agg(F.count(F.lit(1)).alias("calls"), F.sum("response_bytes").alias("response_bytes"))
+
+
 # Discovered files
 
 PATHS = "concat('/var/log/app', CAST(p_partkey % 50 AS STRING), '.log', CASE CAST(floor(p_partkey / 50) AS BIGINT) % 5 WHEN 0 THEN '' WHEN 1 THEN '.1' WHEN 2 THEN '.2.gz' WHEN 3 THEN '.10' ELSE '.1.3.bz2' END)"

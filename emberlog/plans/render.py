@@ -125,11 +125,11 @@ def stacked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", texts).select(F.lit("events").alias("file"), (F.col("event_id") * 3 + F.col("k") + 1).alias("line_number"), "text")
 
 
-def stored_log(spark: SparkSession, sf_dir: str, compression: str = "none") -> str:
-    """Write the JSON log as text files, four of them, to the shared folder; returns the folder."""
+def stored_log(spark: SparkSession, sf_dir: str, compression: str = "none", files: int = 4, line_end: str = "\n") -> str:
+    """Write the JSON log as text files, four of them by default, to the shared folder; returns the folder."""
     folder = posixpath.join(shared_folder(spark), f"log-{uuid.uuid4().hex}")
-    rows = columns(spark, sf_dir).repartitionByRange(4, "line_number").sortWithinPartitions("line_number")
-    rows.select(F.expr(JSON).alias("text")).write.option("compression", compression).text(folder)
+    rows = columns(spark, sf_dir).repartitionByRange(files, "line_number").sortWithinPartitions("line_number")
+    rows.select(F.expr(JSON).alias("text")).write.option("compression", compression).option("lineSep", line_end).text(folder)
     return folder
 
 

@@ -22,8 +22,8 @@ GROUPS = ("tool", "status", "warning")
 
 
 def read_events(spark: SparkSession, folder: str, since: timedelta | None = None, now: datetime | None = None) -> DataFrame:
-    """Events of ``events-*.jsonl`` files, those before ``now - since`` left out as they are read; lines that are no events are left out."""
-    rows = spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(f"{folder.rstrip('/')}/events-*.jsonl").where("ts IS NOT NULL")
+    """Events of a folder's ``events-*.jsonl`` files and of what ``write_events`` wrote, those before ``now - since`` left out as they are read; lines that are no events are left out."""
+    rows = spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", "{events-*.jsonl,part-*.json}").json(folder).where("ts IS NOT NULL")
     return rows if since is None else rows.where(F.col("ts") >= F.lit((now or datetime.now(UTC)) - since))
 
 

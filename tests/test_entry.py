@@ -12,7 +12,7 @@ import __spark_entry__
 from emberlog.plans import queries as log_queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer documents events pages part supplier".split()
+TABLES = "customer documents events nation pages part supplier".split()
 
 
 @pytest.fixture(scope="module")

@@ -151,4 +151,4 @@ def test_neighbours_equal_context(spark, monkeypatch):
 def test_deep_rotations(spark):
     paths = ["a.log", "a.log.1.2.3.4.5.6.7.gz", "a.log.1.2", "b.1.2.3", "c.gz", "c.gz.1.bz2"]
     groups = {r.path: r.variants for r in files.rotation_groups(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
-    assert groups == {"a.log": ["a.log.1.2"], "b.1.2.3": [], "c.gz": ["c.gz.1.bz2"]} or groups == {"a.log": ["a.log.1.2"], "b.1.2.3": [], "c.gz": ["c.gz.1.bz2"], "a.log.1.2": ["a.log.1.2.3.4.5.6.7.gz"]}
+    assert groups == {"a.log": ["a.log.1.2"], "b.1.2.3": [], "c.gz": ["c.gz.1.bz2"]}  # a variant of a variant is in no group
