@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,16 +96,29 @@ def ranked(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataF
     return out.drop("__part", "__before", *(f"__before_{k}" for k in sums))
 
 
+#: Bytes up to which the side with hot keys is broadcast, and parts that a hot key's rows are dealt to beyond.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
+
+
 def skew_join(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
     """Join ``many`` with ``one`` (a row per key; column ``rows``: how many rows of ``many`` have the key).
 
-    Keys with over a thousandth of all rows number fewer than a thousand, so their side is broadcast (at most 1,000 rows,
-    whatever the input); the other keys are shuffled, and none of those is large.
+    Keys with over a thousandth of all rows number fewer than a thousand.  While these rows of ``one`` are small, which is
+    checked, they are broadcast; larger ones are copied to ``SALTS`` parts that the rows of ``many`` are dealt to.  The other
+    keys are shuffled, and none of those is large.
     """
     hot = F.col(rows) > max(total // 1000, 1)
-    few = F.broadcast(one.where(hot).limit(1000))
-    cold = many.join(F.broadcast(one.where(hot).select(key).limit(1000)), key, "left_anti")
-    return many.join(few, key).unionByName(cold.join(one.where(~hot), key, how))
+    few = one.where(hot)
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in one.dtypes if t in ("string", "binary")]
+    size = few.agg(F.sum(reduce(Column.__add__, texts, F.lit(100)))).first()[0] or 0
+    keys = F.broadcast(few.select(key))
+    cold = many.join(keys, key, "left_anti")
+    if size <= BROADCAST_BYTES:
+        joined = many.join(F.broadcast(few), key)
+    else:
+        dealt = many.join(keys, key, "left_semi").withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
+        joined = dealt.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "__salt"]).drop("__salt")
+    return joined.unionByName(cold.join(one.where(~hot), key, how))
 
 
 def sampled(df: DataFrame, keys: list[Column], rows: int, size: Column | None = None, most: int = 0, seed: int = 7) -> DataFrame:

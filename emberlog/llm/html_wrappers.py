@@ -4,8 +4,10 @@ A page is read as a stream of block tags and text slots.  A host's wrapper is a
 (tags, text slots, optional and repeated groups).  It is inferred by aligning streams one after the other: repeats within a
 stream are folded into groups; two streams are aligned on their longest common subsequence; a sequence that is repeated in
 one and single in the other becomes a repeated group; what only one has becomes optional; texts that differ make a slot
-variable.  Alignment also works between wrappers, so a host's pages are folded where they lie and only wrappers are merged,
-first by (host, salt) and then by host: no task needs all pages of a host.
+variable.  Alignment also works between wrappers, so a host's pages are folded where they lie and only wrappers are merged.
+Pages of one shape merge into one wrapper in any order; different shapes are aligned in a tree, grouped and ordered by their
+hashes, at most about ``FAN`` in a task, so the result does not depend on where pages lie and no task needs all of a host.  A
+wrapper that would pass ``MAX_NODES`` nodes is not extended: the host then has a second one, and what both say is added up.
 
 The wrapper selects the text of every page of a host with ``MIN_PAGES`` different pages or more: the slots of all containers
 whose text changes and is not mostly links, without the texts that stand on ``CONSTANT_SHARE`` of the host's different pages.
@@ -21,12 +23,15 @@ from __future__ import annotations
 
 import difflib
 import functools
+import hashlib
 import html
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +52,14 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Numbers in classes tell pages apart, not places.
+_DIGITS = re.compile(r"\d+")
 #: A host's wrapper decides from so many different pages; a text on this share of them (and on so many) is boilerplate.
 MIN_PAGES, CONSTANT_SHARE = 3, 0.5
 #: A container with a larger share of its characters in links is navigation.
 LINK_SHARE = 0.5
-SALTS = 64
+#: Wrappers merged in one task, and nodes up to which a wrapper grows.
+FAN, MAX_NODES = 32, 3_000
 #: Elements that are parts of a text; the container of a slot is the innermost element that is none of them.
 TEXT_PARTS = frozenset("p li ul ol blockquote h1 h2 h3 h4 h5 h6 pre".split())
 
@@ -126,7 +134,7 @@ def read_page(source: str) -> tuple[list[Block], list[str | Block]]:
         flush()
         if name in CLOSED_BY_SAME and stack and stack[-1][0] == name or name in BLOCKS and name != "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        label = name + "".join("." + c for c in attributes.get("class", "").split()[:2])
+        label = name + "".join("." + _DIGITS.sub("0", c) for c in attributes.get("class", "").split())
         if block:
             stream.append(label)
         if name not in VOID and not m["rest"].endswith("/"):
@@ -155,10 +163,31 @@ def merge_nodes(a: list, b: list) -> list:
     return [a[0], a[1], kids, a[3] or b[3], a[4] + b[4], a[5] if a[5] == b[5] else None, a[6] + b[6], a[7] + b[7]]
 
 
+def merge_same(a: list, b: list) -> list:
+    """The wrapper of two wrappers of one shape (of two whose shapes only share a hash: aligned)."""
+    if list(map(node_key, a)) != list(map(node_key, b)):
+        return align(a, b)
+    return [merge_nodes(x, y) for x, y in zip(a, b, strict=True)]
+
+
 def fold(nodes: list) -> list:
-    """Turn adjacent repeats into repeated groups, short periods first."""
-    for period in range(1, 9):
-        out, k, keys = [], 0, [node_key(n) for n in nodes]
+    """Turn adjacent repeats into repeated groups, short periods first; a period is a distance at which some node recurs."""
+    done = 0
+    while True:
+        keys, seen, periods = [node_key(n) for n in nodes], {}, set()
+        for k, key in enumerate(keys):
+            if key in seen:
+                periods.add(k - seen[key])
+            seen[key] = k
+        numbers = {key: k for k, key in enumerate(seen)}
+        codes = np.array([numbers[key] for key in keys])
+        for period in sorted(p for p in periods if p > done):
+            breaks = np.flatnonzero(np.r_[True, codes[:-period] != codes[period:], True])
+            if np.diff(breaks).max() > period:  # a whole period is repeated somewhere
+                break
+        else:
+            return nodes
+        done, out, k = period, [], 0
         while k < len(nodes):
             times = 1
             while keys[k : k + period] == keys[k + times * period : k + (times + 1) * period] and len(keys[k : k + period]) == period:
@@ -175,7 +204,6 @@ def fold(nodes: list) -> list:
             out.append(kids[0] if period == 1 and kids[0][0] == "r" else ["r", "", kids, False, 1, None, 0, 0])
             k += times * period
         nodes = out
-    return nodes
 
 
 def page_wrapper(stream: list) -> list:
@@ -242,21 +270,26 @@ def page_slots(blocks: list[Block]) -> str:
     return ",".join(map(str, sorted({text_hash("/".join(b.path), b.text) for b in blocks if not b.left_out})))
 
 
-def summary(nodes: list, constants: list[int]) -> str:
-    """What extraction needs of a wrapper: the constant texts' hashes, and the containers of changing text that are not navigation."""
-    fixed, mass = set(constants), {}
+def masses(nodes: list, constants: set[int]) -> dict[str, list[int]]:
+    """Per container the characters of changing text that a wrapper's slots hold, and those of them in links."""
+    mass: dict[str, list[int]] = {}
 
     def walk(n: list):
         for kid in n[2]:
             walk(kid)
-        if n[0] == "s" and n[6] and n[5] not in fixed:
+        if n[0] == "s" and n[6] and n[5] not in constants:
             held = mass.setdefault(container_of(tuple(n[1].split("/"))), [0, 0])
             held[0] += n[6]
             held[1] += n[7]
 
     for n in nodes:
         walk(n)
-    return json.dumps([sorted(fixed), sorted(p for p, (n, links) in mass.items() if links <= LINK_SHARE * n)])
+    return mass
+
+
+def summary(constants: str, containers: list[str]) -> str:
+    """What extraction needs of a host's wrapper, as JSON: the constant texts' hashes, and the containers of main text."""
+    return json.dumps([sorted(int(c) for c in constants.split(",") if c), sorted(containers)])
 
 
 @functools.lru_cache(64)
@@ -289,34 +322,67 @@ def _source(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def merged_in_order(texts: list[str]) -> list[list]:
+    """Wrappers of all given ones, aligned one after the other; a wrapper that would grow too long is followed by another."""
+    out: list[list] = []
+    for text in texts:
+        nodes = json.loads(text)
+        if out and max(len(out[-1]), len(nodes)) <= MAX_NODES and len(both := align(out[-1], nodes)) <= MAX_NODES:
+            out[-1] = both
+        else:
+            out.append(nodes)
+    return out
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, rows, wrapper, pages, constants) of ``pages`` (host, html): one row per host; the wrapper is JSON.
+    """(host, rows, wrapper, pages, constants) of ``pages`` (host, html): a row per host, few more where one wrapper cannot
+    hold all; the wrapper is JSON.
 
-    ``pages`` counts the host's different pages; ``constants`` has the hashes of the texts on a large share of them.
+    ``rows`` counts the host's pages, ``pages`` the different ones; ``constants`` has the hashes of the texts on a large share of them.
     """
 
     def local(hosts, sources) -> Iterator[tuple]:
-        found: dict[str, tuple[int, list]] = {}
+        found: dict[tuple[str, str], tuple[int, list]] = {}
         for host, source in zip(hosts, sources, strict=True):
             blocks, stream = read_page(source)
             nodes = page_wrapper(stream)
-            seen = found.get(host)
-            found[host] = (1, nodes) if seen is None else (seen[0] + 1, align(seen[1], nodes))
-            yield host, None, None, page_slots(blocks)
-        for host, (n, nodes) in found.items():
-            yield host, n, json.dumps(nodes), None
-
-    def merged(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("wrapper")
+            shape = "".join(map(node_key, nodes))
+            seen = found.get((host, shape))
+            found[host, shape] = (1, nodes) if seen is None else (seen[0] + 1, merge_same(seen[1], nodes))
+            yield host, None, None, None, page_slots(blocks)
+        for (host, shape), (n, nodes) in found.items():
+            yield host, int.from_bytes(hashlib.blake2b(shape.encode("utf-8", "surrogatepass"), digest_size=7).digest()), n, json.dumps(nodes), None
+
+    def same(frame: pd.DataFrame) -> pd.DataFrame:
         nodes = None
         for text in frame["wrapper"]:
-            nodes = json.loads(text) if nodes is None else align(nodes, json.loads(text))
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "rows": [int(frame["rows"].sum())], "wrapper": [json.dumps(nodes)]})
-
-    schema = "host string, rows long, wrapper string"
+            more = json.loads(text)
+            nodes = more if nodes is None else merge_same(nodes, more)
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "shape": [frame["shape"].iloc[0]], "rows": [int(frame["rows"].sum())], "wrapper": [json.dumps(nodes)]})
+
+    def aligned(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["shape", "part"])
+        found = merged_in_order(list(frame["wrapper"]))
+        size = len(found)
+        rows = [int(frame["rows"].sum())] + [0] * (size - 1)
+        return pd.DataFrame({"host": [frame["host"].iloc[0]] * size, "shape": [int(frame["shape"].iloc[0])] * size, "part": range(size), "rows": rows, "wrapper": [json.dumps(f) for f in found]})
+
+    schema = "host string, shape long, rows long, wrapper string"
     read = cut(arrow_map(pages.select("host", _source("html")), local, schema + ", slots string"))
-    salted = read.where(F.col("slots").isNull()).select("host", "rows", "wrapper").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    found = salted.groupBy("host", "salt").applyInPandas(merged, schema).groupBy("host").applyInPandas(merged, schema)
+    shapes = read.where(F.col("slots").isNull()).drop("slots")
+    most = shapes.groupBy("host", "shape").count().agg(F.max("count")).first()[0] or 0
+    while most > 1:  # one shape: the order does not matter, so rows are dealt as they lie
+        parts = -(-most // (8 * FAN))
+        dealt = shapes.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
+        shapes = cut(dealt.groupBy("host", "shape", "salt").applyInPandas(same, schema))
+        most = parts if parts == 1 else shapes.groupBy("host", "shape").count().agg(F.max("count")).first()[0] or 0
+    most = shapes.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    levels = 0 if most <= 1 else max(1, math.ceil(math.log(most, FAN)))
+    found = shapes.withColumn("part", F.lit(0).cast("long"))
+    for level in range(levels):  # shapes are 56-bit hashes; a group has those that agree in their first bits
+        shift = 56 - round((levels - 1 - level) * math.log2(FAN))
+        group = F.shiftright("shape", shift) if shift < 56 else F.lit(0)
+        found = cut(found.groupBy("host", group.alias("group")).applyInPandas(aligned, "host string, shape long, part long, rows long, wrapper string"))
     different = read.where(F.col("slots").isNotNull()).select("host", "slots").distinct()
     # the empty slot counts the pages; no more than 1 / CONSTANT_SHARE times a page's texts are constant, so lists are short
     slots = different.select("host", F.explode(F.concat(F.array(F.lit("")), F.array_remove(F.split("slots", ","), ""))).alias("slot"))
@@ -325,7 +391,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     total = totals.agg(F.sum("pages")).first()[0] or 0
     often = skew_join(counted.where(F.col("slot") != ""), totals, "host", "pages", total).where(F.col("count") >= F.col("pages") * CONSTANT_SHARE)
     constants = often.groupBy("host").agg(F.concat_ws(",", F.sort_array(F.collect_list("slot"))).alias("constants"))
-    return found.join(totals, "host").join(constants, "host", "left").withColumn("constants", F.coalesce("constants", F.lit("")))
+    return found.select("host", "rows", "wrapper").join(totals, "host").join(constants, "host", "left").withColumn("constants", F.coalesce("constants", F.lit("")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -337,11 +403,23 @@ def decided(pages: DataFrame) -> DataFrame:
     """``extract`` with the column ``decided_by``: wrapper, article or page."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
 
-    def summaries(hosts, sizes, found, different, constants) -> Iterator[tuple]:
-        for host, n, text, m, fixed in zip(hosts, sizes, found, different, constants, strict=True):
-            yield host, n, summary(json.loads(text), [int(c) for c in fixed.split(",") if c]) if m >= MIN_PAGES else None
-
-    learned = cut(arrow_map(wrappers(rows).select("host", "rows", "wrapper", "pages", "constants"), summaries, "host string, rows long, wrapper string"))
+    def weighed(hosts, sizes, found, constants) -> Iterator[tuple]:
+        for host, n, text, fixed in zip(hosts, sizes, found, constants, strict=True):
+            yield host, n, "", 0, 0  # carries the number of pages
+            for container, (mass, links) in masses(json.loads(text), {int(c) for c in fixed.split(",") if c}).items():
+                yield host, 0, container, mass, links
+
+    def summaries(hosts, sizes, different, constants, containers) -> Iterator[tuple]:
+        for host, n, m, fixed, main in zip(hosts, sizes, different, constants, containers, strict=True):
+            yield host, n, summary(fixed, main) if m >= MIN_PAGES else None
+
+    inferred = cut(wrappers(rows))
+    held = arrow_map(inferred.select("host", "rows", "wrapper", "constants"), weighed, "host string, rows long, container string, mass long, links long")
+    held = held.groupBy("host", "container").agg(*(F.sum(c).alias(c) for c in ("rows", "mass", "links")))
+    main = F.when((F.col("mass") > 0) & (F.col("links") <= LINK_SHARE * F.col("mass")), F.col("container"))
+    hosts = held.groupBy("host").agg(F.sum("rows").alias("rows"), F.collect_list(main).alias("containers"))
+    learned = hosts.join(inferred.groupBy("host").agg(F.max("pages").alias("pages"), F.max("constants").alias("constants")), "host")
+    learned = cut(arrow_map(learned.select("host", "rows", "pages", "constants", "containers"), summaries, "host string, rows long, wrapper string"))
     total = learned.agg(F.sum("rows")).first()[0] or 0
     joined = skew_join(rows, learned, "host", "rows", total, "left")
 

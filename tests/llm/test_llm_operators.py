@@ -460,6 +460,39 @@ def test_all_containers_of_changing_text_stay(spark):
     assert html_texts(spark, sources) == {k: (f"Intro {k}\n\nBody {k} is the longer one", "wrapper") for k in range(6)}
 
 
+def test_wrapper_decides_without_article_tags_and_withheld_it_differs(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    bare = pages.withColumn("html", F.regexp_replace("html", r"(?i)<(/?)(?:article|main)\b[^>]*>", "<$1div>"))
+    with_tags, without = ({r.page_id: (r.text, r.decided_by) for r in html_wrappers.decided(p).collect()} for p in (pages, bare))
+    assert sum(with_tags[k][0] == without[k][0] for k in with_tags) >= 0.9 * len(with_tags)
+    sources = [f"<div class=t0p>Always here</div><div class=body><p>Story {k} of many others</p></div><div class=list><a href=x>Go on to page {k}</a></div>" for k in range(6)]
+    assert html_texts(spark, sources)[0] == ("Story 0 of many others", "wrapper")
+    assert html_wrappers.main_text(f"<html><body>{sources[0]}</body></html>", None) == "Always here\n\nStory 0 of many others\n\nGo on to page 0"
+
+
+def test_wrappers_do_not_depend_on_where_pages_lie(spark, monkeypatch):
+    rng = random.Random(14)
+    tag = lambda: rng.choice(["h2", "p", "ul", "pre", "blockquote"])
+    rows = []
+    for k in range(240):
+        inner = "".join(f"<{t}>{'Same words' if rng.random() < 0.3 else f'text {rng.random()}'}</{t}>" for t in (tag() for _ in range(rng.randrange(1, 7))))
+        rows.append((k, f"http://h{k % 2}.org/{k}", f"<body><div class='top menu{k}x'>Here always</div><div class='c{k} main'>{inner}</div><div class=x><a>See {k}</a></div></body>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    results = []
+    for nodes in (html_wrappers.MAX_NODES, 12):
+        monkeypatch.setattr(html_wrappers, "MAX_NODES", nodes)
+        results += [sorted(map(tuple, html_wrappers.decided(frame.repartition(n)).collect())) for n in (1, 32)]
+    assert results[0] == results[1] and results[2] == results[3]
+    assert len({r[4] for r in results[0]}) == 1 and all("Here always" not in r[2] and "See " not in r[2] for r in results[0])
+    assert sum(a == b for a, b in zip(results[0], results[2], strict=True)) >= 0.9 * len(rows)
+
+
+def test_long_periods_fold():
+    page = "".join(f"<h2>{k}</h2>" + "".join(f"<{t}>x{k}</{t}>" for t in "p ul ol pre dl figure table section blockquote header".split()) for k in range(3))
+    found = html_wrappers.expression(html_wrappers.page_wrapper(html_wrappers.read_page(f"<body>{page}</body>")[1]))
+    assert found.count("<h2>") == 1 and found.count(")+") == 1
+
+
 def test_alignment_makes_optionals_and_repeats():
     make = lambda s: html_wrappers.page_wrapper(html_wrappers.read_page(s)[1])
     a = make("<body><ul><li>1<li>2<li>3</ul><h2>x</h2><hr></body>")
@@ -708,7 +741,9 @@ def test_ranked_is_a_global_prefix_sum(spark):
         total += b
 
 
-def test_skew_join_equals_a_join(spark):
+@pytest.mark.parametrize("most", [common.BROADCAST_BYTES, 0])
+def test_skew_join_equals_a_join(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
     many = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 900).alias("k"), "id")
     one = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     got = common.skew_join(many, one, "k", "n", 4000)
