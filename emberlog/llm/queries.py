@@ -85,7 +85,61 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def _quoted(text: str) -> str:
+    """A text as an SQL string, white space by its codes."""
+    return "concat(" + ", ".join(f"chr({ord(c)})" if c.isspace() or c in "'\\" else f"'{c}'" for c in text) + ")"
+
+
+def _divergence(own: str, others: str) -> str:
+    """The Jensen-Shannon distance of two lists of counts, 0 where one is empty."""
+    p, q = f"({own}[k] / list_sum({own})::DOUBLE)", f"({others}[k] / list_sum({others})::DOUBLE)"
+    term = lambda a: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({p} + {q}) / 2)) ELSE 0.0 END"
+    total = f"list_sum([({term(p)} + {term(q)})::DOUBLE FOR k IN range(1, len({own}) + 1)]) / 2"
+    return f"CASE WHEN list_sum({own}) > 0 AND list_sum({others}) > 0 THEN sqrt(greatest(0.0, {total})) ELSE 0.0 END"
+
+
+_CHARS = ", ".join(f"length(t) - length(translate(t, {_quoted(c)}, ''))" for c in quality.CHARACTER_CLASSES.values())
+_COMMON = ", ".join(f"len(list_filter(plain, lambda x: x = '{w}'))" for w in quality.VOCABULARY)
+_WEIGHED = "CASE WHEN list_sum({0}) <= " + str(quality.MAX_WEIGHT) + " THEN {0} ELSE [CAST(floor(x * " + str(quality.MAX_WEIGHT) + " / list_sum({0})) AS BIGINT) FOR x IN {0}] END"
+
+
+def _sums(name: str, n: int) -> str:
+    return "[" + ", ".join(f"CAST(sum({name}[{k}]) AS BIGINT)" for k in range(1, n + 1)) + "]"
+
+
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {quality.LANGUAGES} THEN lang ELSE 'other' END AS reference FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '[^ 	-]+') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM d),
+p AS (SELECT *, [rtrim(lower(x), '{quality.PUNCTUATION}') FOR x IN words] AS plain FROM w),
+windows AS (SELECT row, k, array_to_string(words[k : k + 4], ' ') AS s FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS k FROM w)),
+twice AS (SELECT row, k FROM (SELECT row, k, count(*) OVER (PARTITION BY row, s) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT row, count(DISTINCT k + o) AS n FROM twice, range(5) AS t(o) GROUP BY row),
+h AS (
+  SELECT row, doc_id, reference, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, length(t) AS n, [{_CHARS}] AS c, [{_COMMON}] AS v
+  FROM p LEFT JOIN repeats USING (row)),
+f AS (
+  SELECT row, doc_id, reference, n_words, n_repeat_words, n_dup_lines, list_append(c, n - list_sum(c))::BIGINT[] AS chars, list_append(v, n_words - list_sum(v))::BIGINT[] AS common FROM h),
+g AS (SELECT *, {_WEIGHED.format("chars")} AS own_chars, {_WEIGHED.format("common")} AS own_common FROM f),
+r AS (SELECT reference, {_sums("own_chars", len(quality.CHARACTER_CLASSES) + 1)} AS all_chars, {_sums("own_common", len(quality.VOCABULARY) + 1)} AS all_common FROM g GROUP BY reference),
+o AS (SELECT *, [all_chars[k] - own_chars[k] FOR k IN range(1, len(chars) + 1)] AS other_chars, [all_common[k] - own_common[k] FOR k IN range(1, len(common) + 1)] AS other_common FROM g JOIN r USING (reference)),
+m AS (
+  SELECT doc_id, n_words, CAST(list_sum(chars) - chars[3] AS BIGINT) AS word_chars, chars[6] AS n_symbols, n_dup_lines, n_repeat_words,
+         n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+         {_divergence("chars", "other_chars")} AS a, {_divergence("common", "other_common")} AS b FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ((word_chars >= {quality.MIN_CHARS} AND a > {quality.MAX_CHAR_DISTANCE})
+         OR (n_words >= {quality.MIN_COMMON_WORDS} AND (a + b > {quality.MAX_BOTH_DISTANCES} OR b > {quality.WORD_MARGIN} + {quality.WORD_NOISE} / sqrt(greatest(n_words, 1))))) AS kept,
+       round(a, 6) AS char_distance, round(b, 6) AS word_distance
+FROM m
+"""
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,4 +173,4 @@ QUERIES = {
         op10_toxicity,
     )
 }
-SQL = {"op1_mix_sources": OP1_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op6_quality_rules": OP6_SQL}

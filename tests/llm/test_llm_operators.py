@@ -373,6 +373,30 @@ def test_quality_base_matches_brute_force(documents, awkward):
         assert not +rows and not -rows
 
 
+def test_common_words_keep_no_punctuation(spark):
+    text = "The which!! of,;: reallylongword!! and... notcommon, Le l'on"
+    marks = spark.createDataFrame([(text.split(),)], "w array<string>").select(quality.common_word_counts(F.col("w"))).first()[0]
+    assert Counter(quality.VOCABULARY[quality.MARKS.index(m)] for m in marks) == Counter(["the", "which", "of", "and", "le"])
+
+
+def test_quality_leaves_the_judged_text_out(spark):
+    rng = random.Random(15)
+    junk = " ".join("".join(rng.choice("%$#|XQZ") for _ in range(7)) for _ in range(60_000))
+    prose_ = [" ".join(rng.choice(quality.COMMON_WORDS["en"] + ["stone", "river", "mountain"]) for _ in range(150)) for _ in range(150)]
+    rows = [(0, junk, "en"), (999, "alone " * 3 + " ".join(map(str, range(100, 190))), "fr")] + [(k, t, "en") for k, t in enumerate(prose_, 1)]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not found[0].kept and sum(found[k].kept for k in range(1, 151)) >= 148  # one huge text is not its own reference, nor that of others
+    assert found[999].char_distance == found[999].word_distance == 0
+
+
+def test_quality_by_labels(spark):
+    """Thresholds were set on the labels of sf0.1; these are others."""
+    sf = "/root/testdata/sf0.01"
+    rows = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.3 * len(bad)
+
+
 def test_jensen_shannon(spark):
     p, q = [5, 0, 3, 2], [1, 4, 0, 5]
     a, b = np.array(p) / 10, np.array(q) / 10
