@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,8 +92,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quoted(text: str) -> str:
-    """A text as an SQL string, white space by its codes."""
-    return "concat(" + ", ".join(f"chr({ord(c)})" if c.isspace() or c in "'\\" else f"'{c}'" for c in text) + ")"
+    """A text as an SQL string; what may not stand in one is written by its code."""
+    return "concat(" + ", ".join(f"chr({ord(part)})" if part in "\t\n\v\f\r'\\" else f"'{part}'" for part in re.findall(r"[\t\n\v\f\r'\\]|[^\t\n\v\f\r'\\]+", text)) + ")"
 
 
 def _divergence(own: str, others: str) -> str:
@@ -115,8 +117,10 @@ OP6_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {quality.LANGUAGES} THEN lang ELSE 'other' END AS reference FROM documents),
 w AS (
-  SELECT *, regexp_extract_all(t, '[^ 	-]+') AS words,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM d),
+  SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM d),
 p AS (SELECT *, [rtrim(lower(x), '{quality.PUNCTUATION}') FOR x IN words] AS plain FROM w),
 windows AS (SELECT row, k, array_to_string(words[k : k + 4], ' ') AS s FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS k FROM w)),
 twice AS (SELECT row, k FROM (SELECT row, k, count(*) OVER (PARTITION BY row, s) AS n FROM windows) WHERE n > 1),
@@ -154,6 +158,26 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+_TEMPLATES = ", ".join(f"({k}, {_quoted(n)}, {_quoted(t)})" for k, (n, t) in enumerate(licenses.TEMPLATES))
+
+
+def _normal(text: str) -> str:
+    """The words of a text as templates are compared."""
+    return f"regexp_extract_all(translate({text}, {_quoted(licenses._FROM)}, '{licenses._TO}'), '[^\\x20\\x09-\\x0D]+')"
+
+
+OP9_SQL = rf"""
+WITH t AS (SELECT k AS template, n AS license, {_normal("x")} AS words FROM (VALUES {_TEMPLATES}) AS v(k, n, x)),
+ts AS (SELECT DISTINCT template, license, array_to_string(words[i + 1 : i + {licenses.SHINGLE}], ' ') AS s FROM (SELECT *, unnest(range(len(words) - {licenses.SHINGLE - 1})) AS i FROM t)),
+sizes AS (SELECT template, count(*) AS n FROM ts GROUP BY template),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_normal("coalesce(text, '')")} AS words FROM documents),
+ds AS (SELECT row, doc_id, i, array_to_string(words[i + 1 : i + {licenses.SHINGLE}], ' ') AS s FROM (SELECT *, unnest(range(len(words) - {licenses.SHINGLE - 1})) AS i FROM d)),
+m AS (SELECT row, doc_id, license, template, count(DISTINCT s) / any_value(n)::DOUBLE AS containment, min(i) AS first_word FROM ds JOIN ts USING (s) JOIN sizes USING (template) GROUP BY ALL)
+SELECT doc_id, license, containment, template, first_word FROM (
+  SELECT *, row_number() OVER (PARTITION BY row, license ORDER BY containment DESC, template) AS pos FROM m WHERE containment >= {licenses.CONTAINMENT}) WHERE pos = 1
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -173,4 +197,4 @@ QUERIES = {
         op10_toxicity,
     )
 }
-SQL = {"op1_mix_sources": OP1_SQL, "op6_quality_rules": OP6_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op6_quality_rules": OP6_SQL, "op9_license_scan": OP9_SQL}

@@ -695,6 +695,14 @@ def test_licenses_match_brute_force(spark, documents, awkward):
     assert licenses.collision_probability(0.5) > 0.99
 
 
+def test_licenses_by_row(spark):
+    """Rows that share a doc_id, or have none, are documents of their own; a paragraph of a long text is found alone."""
+    mit = [t for n, t in licenses.TEMPLATES if n == "MIT"]
+    rows = [(None, mit[0]), (None, mit[0]), (3, mit[1]), (3, mit[2]), (3, "nothing here at all to see"), (4, None), (5, f"start {mit[2].lower()} end")]
+    found = sorted((str(r.doc_id), r.license, r.template, r.first_word) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [("3", "MIT", 1, 0), ("3", "MIT", 2, 0), ("5", "MIT", 2, 1), ("None", "MIT", 0, 0), ("None", "MIT", 0, 0)]
+
+
 # 10 toxicity
 
 
