@@ -121,15 +121,19 @@ def skew_join(many: DataFrame, one: DataFrame, key: str, rows: str, total: int,
     return joined.unionByName(cold.join(one.where(~hot), key, how))
 
 
-def sampled(df: DataFrame, keys: list[Column], rows: int, size: Column | None = None, most: int = 0, seed: int = 7) -> DataFrame:
+def sampled(df: DataFrame, keys: list[Column], rows: int, size: Column | None = None, most: int = 0, seed: int = 7, by: Column | None = None) -> DataFrame:
     """About ``rows`` of the rows that differ in ``keys``, the same ones on each run; at most twice as many.
 
     Rows are chosen by a hash of all keys, and equal ones count once, so neither a hot key nor equal rows can take the sample
-    or empty it.  With ``size`` the sample is so much smaller that its sizes come to about ``most``.
+    or empty it.  With ``size`` the sample is so much smaller that its sizes come to about ``most``.  With ``by``, a column of
+    few values, each value has a sample of that size, all from the same two scans.
     """
-    named = df.withColumn("__hash", F.xxhash64(*keys, F.lit(seed)))
-    n, mean = named.agg(F.approx_count_distinct("__hash", 0.02), F.avg(size if size is not None else F.lit(1))).first()
-    wanted = rows if size is None else max(1, min(rows, int(most / max(mean or 1, 1))))
-    if n > wanted:
-        named = named.where(F.pmod("__hash", F.lit(1 << 40)) < int(wanted / n * (1 << 40)))
-    return named.dropDuplicates(["__hash"]).orderBy("__hash").limit(2 * wanted).drop("__hash")
+    named = df.withColumns({"__hash": F.xxhash64(*keys, F.lit(seed)), "__by": F.lit(0) if by is None else by})
+    counts = named.groupBy("__by").agg(F.approx_count_distinct("__hash", 0.02).alias("n"), F.avg(size if size is not None else F.lit(1)).alias("mean")).collect()
+    chosen, total, widest = F.lit(False), 0, 0
+    for r in counts:
+        wanted = rows if size is None else max(1, min(rows, int(most / max(r["mean"] or 1, 1))))
+        share = int(min(1.0, wanted / max(r["n"], 1)) * (1 << 40))
+        chosen, total, widest = chosen | (F.col("__by").eqNullSafe(F.lit(r["__by"])) & (F.pmod("__hash", F.lit(1 << 40)) < share)), total + wanted, max(widest, share)
+    # the hash is looked at first, so ``by`` is computed for few rows only
+    return named.where((F.pmod("__hash", F.lit(1 << 40)) < widest) & chosen).dropDuplicates(["__hash"]).orderBy("__hash").limit(max(1, 2 * total)).drop("__hash", "__by")

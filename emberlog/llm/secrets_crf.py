@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import arrow_map, bounded_batches, sampled, text_or_empty
@@ -464,15 +464,19 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-#: Characters that any base span has: texts with one are sampled apart from the others, so rare secrets are in the sample.
-_HINT = r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}"
+def _hint() -> Column:
+    """Whether a text has what any base span has: such texts are sampled apart from the others, so rare secrets are in the sample."""
+    low, found = F.lower("__text"), F.col("__text").contains("AKIA")
+    for word in ASSIGN_HINTS:
+        found = found | low.contains(word.decode())
+    return found | F.col("__text").rlike("[0-9a-f]{24}")
 
 
 def train(docs: DataFrame) -> Field | None:
     """Train on a bounded sample of ``docs`` (doc_id, text): half of it texts that may have base spans, half others."""
-    rows = docs.select(text_or_empty().alias("__text")).where((F.length("__text") <= SAMPLE_CHARS) & (F.length("__text") > 0)).withColumn("__hint", F.col("__text").rlike(_HINT))
-    parts = [sampled(rows.where(F.col("__hint") == hint), [F.col("__text")], SAMPLE_TEXTS // 2, F.length("__text"), SAMPLE_TOTAL // 2) for hint in (True, False)]
-    return train_field(sorted(r[0] for p in parts for r in p.select("__text").collect()))
+    rows = docs.select(text_or_empty().alias("__text")).where((F.length("__text") <= SAMPLE_CHARS) & (F.length("__text") > 0))
+    drawn = sampled(rows, [F.col("__text")], SAMPLE_TEXTS // 2, F.length("__text"), SAMPLE_TOTAL // 2, by=_hint())
+    return train_field(sorted(r[0] for r in drawn.select("__text").collect()))
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
