@@ -117,10 +117,8 @@ OP6_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {quality.LANGUAGES} THEN lang ELSE 'other' END AS reference FROM documents),
 w AS (
-  SELECT *, regexp_extract_all(t, '[^ 	-
-]+') AS words,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS lines FROM d),
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 p AS (SELECT *, [rtrim(lower(x), '{quality.PUNCTUATION}') FOR x IN words] AS plain FROM w),
 windows AS (SELECT row, k, array_to_string(words[k : k + 4], ' ') AS s FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS k FROM w)),
 twice AS (SELECT row, k FROM (SELECT row, k, count(*) OVER (PARTITION BY row, s) AS n FROM windows) WHERE n > 1),
