@@ -35,9 +35,14 @@ def parse_general(ts: Column) -> Column:
     )
 
 
+def micros_between(first: Column, last: Column) -> Column:
+    """Microseconds from one timestamp text to another, 0 where one cannot be parsed."""
+    return F.coalesce(F.unix_micros(parse_general(last)) - F.unix_micros(parse_general(first)), F.lit(0).cast("long"))
+
+
 def hours_between(first: Column, last: Column) -> Column:
     """Hours from one timestamp text to another, 0 where one cannot be parsed."""
-    return F.coalesce((F.unix_micros(parse_general(last)) - F.unix_micros(parse_general(first))) / 3.6e9, F.lit(0.0))
+    return micros_between(first, last) / 3.6e9
 
 
 def window_start(time: Column, minutes: int) -> Column:

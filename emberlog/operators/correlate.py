@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.errors import QueryError
 from emberlog.functions.rx import java
-from emberlog.functions.timeparse import hours_between, parse_general
+from emberlog.functions.timeparse import micros_between, parse_general
 from emberlog.session import stored
 from emberlog.sources.lines import clamp
 
@@ -27,11 +27,11 @@ def correlation_id(field: str):
 def groups_by_id(parsed: DataFrame, field: str = "request_id", window_seconds: int = 60) -> DataFrame:
     """(correlation_id, files, size, span_ms) of identifiers in at least two files, within the window.
 
-    A span that cannot be parsed counts as 0.  Only counts and ends are gathered, not a group's events.
+    A span is in whole milliseconds, halves rounded up, from the exact microseconds; one that cannot be parsed counts as 0.  Only counts and ends are gathered, not a group's events.
     """
     keyed = parsed.withColumn("correlation_id", correlation_id(field)).where(F.col("correlation_id").isNotNull())
     found = keyed.groupBy("correlation_id").agg(F.array_sort(F.collect_set("file")).alias("files"), F.count(F.lit(1)).alias("size"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-    span = F.floor(hours_between(F.col("first"), F.col("last")) * 3.6e6 + 0.5).cast("long")
+    span = F.floor(micros_between(F.col("first"), F.col("last")) / 1000 + 0.5).cast("long")
     return found.where(F.size("files") >= 2).withColumn("span_ms", span).where(F.col("span_ms") <= clamp(window_seconds, 60, 3600) * 1000)
 
 

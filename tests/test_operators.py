@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,6 +256,24 @@ def test_correlation(spark):
         correlate.check_paths(["one"])
 
 
+#: Microseconds to milliseconds: halves go up, also where the span in hours is not exact; the last is beyond an hour.
+SPANS = {"whole": (115_438_000, 115_438), "below": (115_438_499, 115_438), "half": (115_438_500, 115_439), "hour": (3_600_000_499, 3_600_000), "beyond": (3_600_000_500, None)}
+
+
+def span_logs(spark, line):
+    """Each id of SPANS at the start of a log and, that much later, in another."""
+    start = datetime(2024, 1, 1)
+    ends = {"a": dict.fromkeys(SPANS, start), "b": {k: start + timedelta(microseconds=us) for k, (us, _) in SPANS.items()}}
+    logs = [formats.entries(frame(spark, [line(t.isoformat(timespec="microseconds") + "Z", k) for k, t in times.items()], file), "json") for file, times in ends.items()]
+    return logs[0].unionByName(logs[1])
+
+
+def test_spans_by_message_round_halves_up(spark):
+    parsed = span_logs(spark, lambda t, k: j(t, None, f"handled trace='{k}' in time"))
+    got = {r.correlation_id: r.span_ms for r in correlate.groups_by_id(parsed, "trace", 3600).collect()}
+    assert got == {k: ms for k, (_, ms) in SPANS.items() if ms is not None}
+
+
 def test_time_groups(spark):
     rows = [("a", 1, "2025-01-01T00:59:50Z"), ("b", 1, "2025-01-01T01:00:05Z"), ("a", 2, "2025-01-01T01:30:00Z"), ("a", 3, "2025-01-01T03:00:00Z"), ("b", 3, "2025-01-01T03:00:20Z"), ("b", 4, None)]
     parsed = spark.createDataFrame(rows, "file string, line_number long, timestamp string")
