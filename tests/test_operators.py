@@ -274,6 +274,12 @@ def test_spans_by_message_round_halves_up(spark):
     assert got == {k: ms for k, (_, ms) in SPANS.items() if ms is not None}
 
 
+def test_spans_by_field_round_halves_up(spark):
+    parsed = span_logs(spark, lambda t, k: j(t, None, "x", request_id=k))
+    got = {r.correlation_id: (r.files, r.size, r.span_ms) for r in correlate.groups_by_id(parsed, "request_id", 3600).collect()}
+    assert got == {k: (["a", "b"], 2, ms) for k, (_, ms) in SPANS.items() if ms is not None}
+
+
 def test_time_groups(spark):
     rows = [("a", 1, "2025-01-01T00:59:50Z"), ("b", 1, "2025-01-01T01:00:05Z"), ("a", 2, "2025-01-01T01:30:00Z"), ("a", 3, "2025-01-01T03:00:00Z"), ("b", 3, "2025-01-01T03:00:20Z"), ("b", 4, None)]
     parsed = spark.createDataFrame(rows, "file string, line_number long, timestamp string")
